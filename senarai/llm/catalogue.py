@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import crosssplit, formcopies, leakage, ridf, termfreq, tokenise
+from . import crosssplit, formcopies, leakage, ridf, subjects, termfreq, tokenise
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -91,5 +91,18 @@ def p9_spans(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    names = [r.subject for r in table(spark, folder, "subjects").select("subject").distinct().orderBy("subject").limit(63).collect()]
+    return subjects.propagate(
+        table(spark, folder, "documents"), "doc_id", "text",
+        table(spark, folder, "subject_labels"), "doc_id", "subject", names,
+        table(spark, folder, "benchmark_items"), "passage",
+    )
+
+
+def p10_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_found(spark, folder).groupBy("subject").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_scores, p3_found, p3_copies, p5_found, p5_report, p7_found, p7_terms, p8_ids, p9_found, p9_spans)}
+    return {f.__name__: f for f in (p2_found, p2_scores, p3_found, p3_copies, p5_found, p5_report, p7_found, p7_terms, p8_ids, p9_found, p9_spans, p10_found, p10_mix)}
