@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import crosssplit, formcopies, leakage, ridf, subjects, termfreq, tokenise
+from . import crosssplit, formcopies, langid, leakage, ridf, subjects, termfreq, tokenise
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +49,26 @@ def p3_copies(spark: SparkSession, folder: str) -> DataFrame:
     return _forms(spark, folder, formcopies.collapsed)
 
 
+def _profiles(spark: SparkSession, folder: str) -> langid.Profiles:
+    return langid.corpus_profiles(
+        table(spark, folder, "lang_samples"), "lang", "sample", table(spark, folder, "documents"), "doc_id", "text", "lang"
+    )
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    profiles = _profiles(spark, folder)
+    return _by_source(
+        {
+            "raw_reviews": langid.label_corrections(table(spark, folder, "raw_reviews"), "row_id", "ulasan", "lang", profiles),
+            "documents": langid.label_corrections(table(spark, folder, "documents"), "doc_id", "text", "lang", profiles),
+        }
+    )
+
+
+def p4_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.language_segments(table(spark, folder, "documents"), "doc_id", "text", _profiles(spark, folder))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = crosssplit.split_overlaps(table(spark, folder, "labelled"), "row_id", "raw", "split")
     return pairs.select(F.least("train_id", "eval_id").alias("row_a"), F.greatest("train_id", "eval_id").alias("row_b"))
@@ -105,4 +125,4 @@ def p10_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_scores, p3_found, p3_copies, p5_found, p5_report, p7_found, p7_terms, p8_ids, p9_found, p9_spans, p10_found, p10_mix)}
+    return {f.__name__: f for f in (p2_found, p2_scores, p3_found, p3_copies, p4_found, p4_segments, p5_found, p5_report, p7_found, p7_terms, p8_ids, p9_found, p9_spans, p10_found, p10_mix)}
