@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import crosssplit, formcopies, langid, leakage, ridf, subjects, termfreq, tokenise
+from . import crosssplit, formcopies, langid, leakage, pii, ridf, subjects, termfreq, tokenise
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,26 @@ def _by_source(parts: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("src"), "*") for name, df in parts.items()])
 
 
+def _names(spark: SparkSession, folder: str) -> frozenset[str]:
+    return pii.known_names(table(spark, folder, "name_list"), "person_name")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    names = _names(spark, folder)
+    spans = _by_source(
+        {
+            "raw_reviews": pii.personal_spans(table(spark, folder, "raw_reviews"), "row_id", "ulasan", names),
+            "labelled": pii.personal_spans(table(spark, folder, "labelled"), "row_id", "raw", names),
+        }
+    )
+    kinds = ("email", "phone", "id_number", "address", "person_name")
+    return spans.where(F.col("kind").isin(*kinds)).select("src", "row_id", "kind").distinct()
+
+
+def p1_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.redacted(table(spark, folder, "raw_reviews"), "row_id", "ulasan", _names(spark, folder))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     bounds = {"min_tf": 3, "min_df": 2, "max_df": 20}
     scored = {
@@ -125,4 +145,4 @@ def p10_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_scores, p3_found, p3_copies, p4_found, p4_segments, p5_found, p5_report, p7_found, p7_terms, p8_ids, p9_found, p9_spans, p10_found, p10_mix)}
+    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_scores, p3_found, p3_copies, p4_found, p4_segments, p5_found, p5_report, p7_found, p7_terms, p8_ids, p9_found, p9_spans, p10_found, p10_mix)}
