@@ -1,15 +1,276 @@
-"""Named queries over the tables of a dataset folder."""
+"""Named queries over the tables of a dataset folder, each over its whole tables."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import rejects
+from ..functions import sentiment
+from ..functions import text as T
+from ..functions.lexicons import LABELS
+from ..operators import evaluate, features, labelling, model, preprocess, rejects
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources.tables import table
+from ..streaming import reviews
 
 Query = Callable[[SparkSession, str], DataFrame]
+SAMPLE_ROWS = 500
+
+
+def _reviews(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "raw_reviews")
+
+
+def _r6(name: str):
+    return (F.round(F.col(name), 6) + 0.0).alias(name)
+
+
+# labelling
+
+
+def sentiment_label(spark: SparkSession, folder: str) -> DataFrame:
+    out = labelling.auto_label(_reviews(spark, folder), "ulasan", ("row_id",))
+    return out.select("row_id", "sentiment", _r6("confidence"))
+
+
+def strict_label(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _reviews(spark, folder).where("ulasan IS NOT NULL")
+    return rows.select("row_id", sentiment.strict_label(F.col("ulasan")).alias("sentiment"))
+
+
+def sentiment_distribution(spark: SparkSession, folder: str) -> DataFrame:
+    return labelling.distribution(labelling.auto_label(_reviews(spark, folder), "ulasan"))
+
+
+def sentiment_distribution_by_lang(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    out = labelling.auto_label(_reviews(spark, folder), "ulasan", ("lang",))
+    counts = out.groupBy("lang", F.col("sentiment").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("pct", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("lang")) * 100, 1))
+
+
+def review_distribution(spark: SparkSession, folder: str) -> DataFrame:
+    return labelling.review_distribution(table(spark, folder, "labelled"), "sentiment")
+
+
+def dominance_verdict(spark: SparkSession, folder: str) -> DataFrame:
+    return labelling.dominance(sentiment_distribution(spark, folder))
+
+
+def confidence_bars(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "labelled").where("confidence IS NOT NULL")
+    sign = F.when(F.col("confidence") >= 0, "positif").otherwise("negatif")
+    return rows.select("row_id", F.round(sentiment.confidence_bar(F.col("confidence")), 6).alias("bar"), sign.alias("colour"))
+
+
+def distribution_bars(spark: SparkSession, folder: str) -> DataFrame:
+    d = sentiment_distribution(spark, folder)
+    return d.select(*[F.round(sentiment.distribution_bar(F.col(f"{x}_percentage")), 6).alias(x) for x in LABELS])
+
+
+def analyze_service(spark: SparkSession, folder: str) -> DataFrame:
+    return labelling.analyze(_reviews(spark, folder), "ulasan", ("row_id",))
+
+
+# preprocessing
+
+
+def _stage(name: str) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        return preprocess.stage(_reviews(spark, folder), "ulasan", name, ("row_id",))
+
+    return query
+
+
+def preprocess_full(spark: SparkSession, folder: str) -> DataFrame:
+    return preprocess.stages(_reviews(spark, folder), "ulasan", ("row_id",))
+
+
+def preprocess_labelled(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "labelled").withColumn("sentiment", F.coalesce("sentiment", F.lit("netral")))
+    done = preprocess.stages(rows, "raw", ("row_id", "sentiment"))
+    return preprocess.wrangle(done, "row_id").select("row_id", "stemming", "sentiment")
+
+
+def wrangle_keep_first(spark: SparkSession, folder: str) -> DataFrame:
+    return preprocess.wrangle(_stage("stemming")(spark, folder), "row_id")
+
+
+def wrangle_removed_count(spark: SparkSession, folder: str) -> DataFrame:
+    return preprocess.removed_counts(_stage("stemming")(spark, folder))
+
+
+def strict_cleansing(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _reviews(spark, folder).where("ulasan IS NOT NULL")
+    return rows.select("row_id", T.letters_only(T.cleanse(T.case_fold(F.col("ulasan")))).alias("cleansing"))
+
+
+# pages, corrections, keywords
+
+
+def _labelled_pages(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "labelled").where("raw IS NOT NULL").select("row_id", "raw", "sentiment", "confidence")
+    return labelling.numbered(rows, "row_id")
+
+
+def paginate(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _labelled_pages(spark, folder)
+    return labelling.page(rows, 2, rows.count()).select("row_id", "pos", (F.floor(F.col("pos") / labelling.PAGE_ROWS) + 1).alias("page"))
+
+
+def page_summary(spark: SparkSession, folder: str) -> DataFrame:
+    total = table(spark, folder, "labelled").where("raw IS NOT NULL").agg(F.count(F.lit(1)).alias("total"))
+    pages = F.ceil(F.col("total") / labelling.PAGE_ROWS)
+    return total.select("total", pages.alias("pages"), F.least(F.col("total"), F.lit(labelling.PAGE_ROWS)).alias("last_shown"))
+
+
+def bulk_edit(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row whose id divides by 50 is corrected to the auto-label, through (page, row) edits."""
+    rows = _labelled_pages(spark, folder)
+    at = rows.where(F.col("row_id") % 50 == 0)
+    edits = at.select((F.floor(F.col("pos") / 100) + 1).alias("page"), (F.col("pos") % 100).alias("row"), sentiment.label(F.col("raw")).alias("label"))
+    return labelling.bulk_edit(rows, edits).select("row_id", "sentiment", "confidence")
+
+
+def learned_keywords(spark: SparkSession, folder: str) -> DataFrame:
+    return labelling.learned_keywords(table(spark, folder, "labelled"), "raw", "sentiment")
+
+
+# features
+
+
+def _classifier(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "labelled").where("raw IS NOT NULL")
+    return rows.select("row_id", T.classifier_text(F.col("raw")).alias("text"), "sentiment")
+
+
+def classifier_text(spark: SparkSession, folder: str) -> DataFrame:
+    return _classifier(spark, folder).select("row_id", "text")
+
+
+def document_frequency(spark: SparkSession, folder: str) -> DataFrame:
+    return features.document_frequency(_classifier(spark, folder), "text")
+
+
+def smoothed_idf(spark: SparkSession, folder: str) -> DataFrame:
+    return features.smoothed_idf(_classifier(spark, folder), "text").select("term", "df", _r6("idf"))
+
+
+def tfidf_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return features.tfidf(_classifier(spark, folder), "row_id", "text").select("row_id", "term", _r6("w"))
+
+
+def idf_stats(spark: SparkSession, folder: str) -> DataFrame:
+    stats = features.idf_stats(features.smoothed_idf(_classifier(spark, folder), "text"))
+    return stats.select(_r6("avg_idf"), _r6("min_idf"), _r6("max_idf"), "vocabulary_size")
+
+
+def top_terms(spark: SparkSession, folder: str) -> DataFrame:
+    return features.top_terms(_classifier(spark, folder), "text").select("term", _r6("tf"), "place")
+
+
+def top_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
+    return features.top_vocabulary(features.document_frequency(_classifier(spark, folder), "text"))
+
+
+def stratified_sample(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "labelled").where("raw IS NOT NULL").select("row_id", T.sentiment_synonym(F.col("sentiment")).alias("label"))
+    return features.stratified_sample(rows, "row_id", "label", SAMPLE_ROWS)
+
+
+# evaluation
+
+
+def _counted(spark: SparkSession, folder: str, by: tuple[str, ...] = ()) -> DataFrame:
+    rows = table(spark, folder, "predictions")
+    return evaluate.cells(rows.withColumn("method", T.clean_label(F.col("method_name"))), "actual_label", "predicted_label", by)
+
+
+def class_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    out = evaluate.class_metrics(_counted(spark, folder, ("method",)), ("method",))
+    return out.select("method", "label", "tp", "fp", "fn", _r6("precision"), _r6("recall"), _r6("f1_score"))
+
+
+def macro_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    out = evaluate.method_metrics(_counted(spark, folder))
+    return out.select("sample_count", "correct", _r6("accuracy"), _r6("precision"), _r6("recall"), _r6("f1_score"))
+
+
+def confusion_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.confusion(_counted(spark, folder, ("method",)), ("method",))
+
+
+def confusion_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    out = evaluate.confusion_metrics(evaluate.confusion(_counted(spark, folder)))
+    return out.select("label", _r6("precision"), _r6("recall"), _r6("f1_score"), _r6("accuracy"), "correct", "incorrect")
+
+
+def _methods(spark: SparkSession, folder: str) -> DataFrame:
+    metrics = evaluate.method_metrics(_counted(spark, folder, ("method",)), ("method",))
+    rows = table(spark, folder, "predictions").withColumn("method", T.clean_label(F.col("method_name")))
+    seen = rows.groupBy("method").agg(F.min("row_id").alias("first_seen"))
+    return metrics.join(seen, "method")
+
+
+def compare_methods(spark: SparkSession, folder: str) -> DataFrame:
+    out = evaluate.compare(_methods(spark, folder), "method", "first_seen")
+    return out.select("method", "sample_count", _r6("accuracy"), _r6("precision"), _r6("recall"), _r6("f1_score"), "place")
+
+
+def best_method(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.best_method(_methods(spark, folder), "method", "first_seen").select("best_method", _r6("best_accuracy"))
+
+
+def evaluation_report(spark: SparkSession, folder: str) -> DataFrame:
+    methods = cut_lineage(_methods(spark, folder))
+    best = evaluate.best_method(methods, "method", "first_seen")
+    matrix = evaluate.confusion(_counted(spark, folder))
+    out = evaluate.report(evaluate.compare(methods, "method", "first_seen"), "method", best, matrix, "all methods")
+    return out.select("section", "line", F.array_join("cells", ",").alias("cells"))
+
+
+# models
+
+
+def _training(spark: SparkSession, folder: str, *splits: str) -> DataFrame:
+    rows = table(spark, folder, "labelled").where(F.col("split").isin(*splits) & F.col("raw").isNotNull() & F.col("sentiment").isNotNull())
+    return rows.select("row_id", "raw", T.sentiment_synonym(F.col("sentiment")).alias("label"))
+
+
+def svm_predict(spark: SparkSession, folder: str) -> DataFrame:
+    machines = model.train_one_vs_rest(_training(spark, folder, "train"), "row_id", "raw", "label")
+    test = _training(spark, folder, "test", "valid")
+    return machines.predict(test, "row_id", "raw").join(test.select("row_id", F.col("label").alias("actual_label")), "row_id")
+
+
+def cosine_knn(spark: SparkSession, folder: str) -> DataFrame:
+    train = _training(spark, folder, "train").withColumn("text", T.classifier_text(F.col("raw")))
+    test = _training(spark, folder, "test", "valid").withColumn("text", T.classifier_text(F.col("raw")))
+    idf = cut_lineage(features.smoothed_idf(train, "text"))
+    labels = cut_lineage(features.stratified_sample(train, "row_id", "label", SAMPLE_ROWS))
+    sample = train.join(F.broadcast(labels.select("row_id")), "row_id", "left_semi")
+    out = model.cosine_neighbours(features.tfidf(sample, "row_id", "text", idf), features.tfidf(test, "row_id", "text", idf), labels, "row_id", max_train=SAMPLE_ROWS)
+    return out.select("row_id", "predicted_label", _r6("confidence"))
+
+
+# streams
+
+
+def stream_sentiment(spark: SparkSession, folder: str) -> DataFrame:
+    """The labels of sentiment_label, by a stream over the table's files."""
+    ensure_checkpoint_dir(spark)
+    place = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    stream = reviews.read_reviews(spark, f"{folder}/raw_reviews.parquet*", _reviews(spark, folder))
+    labelled = reviews.label_stream(stream, "ulasan", ("row_id",)).select("row_id", "sentiment", _r6("confidence"))
+    reviews.drain(labelled, f"{place}/out", f"{place}/state")
+    return spark.read.schema(labelled.schema).parquet(f"{place}/out")
+
+
+# loading
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,4 +286,16 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p6_found, p6_loaded, p6_report)}
+    stages = {
+        "case_fold": "case_folding", "cleanse": "cleansing", "normalize_slang": "normalisasi",
+        "tokenize": "tokenizing", "remove_stopwords": "filtering", "stem": "stemming",
+    }
+    named = (
+        sentiment_distribution, sentiment_label, strict_label, sentiment_distribution_by_lang, review_distribution, dominance_verdict,
+        confidence_bars, distribution_bars, analyze_service, preprocess_full, preprocess_labelled, wrangle_keep_first,
+        wrangle_removed_count, strict_cleansing, paginate, page_summary, bulk_edit, learned_keywords, classifier_text,
+        document_frequency, smoothed_idf, tfidf_vectors, idf_stats, top_terms, top_vocabulary, stratified_sample, class_metrics,
+        macro_metrics, confusion_matrix, confusion_metrics, compare_methods, best_method, evaluation_report, svm_predict,
+        cosine_knn, stream_sentiment, p6_found, p6_loaded, p6_report,
+    )
+    return {f.__name__: f for f in named} | {name: _stage(column) for name, column in stages.items()}
