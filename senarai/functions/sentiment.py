@@ -5,7 +5,7 @@ Matching is by substring and every contained phrase counts once, as specified; `
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicons
@@ -42,32 +42,35 @@ def squashed(score: Column) -> Column:
     return score / F.sqrt(score * score + ALPHA)
 
 
-def label_compound(text: Column) -> Column:
-    low = F.lower(text)
-    return squashed(adjusted(low, raw_sum(low, lexicons.VALENCES)))
+def scores(df: DataFrame, text: str) -> DataFrame:
+    """df with `label_score` and `compound` of a text column, from the label and the score lexicon.
 
-
-def compound(text: Column) -> Column:
-    """The emitted score, from the score lexicon."""
-    low = F.lower(text)
-    return squashed(adjusted(low, raw_sum(low, lexicons.VALENCES) + raw_sum(low, lexicons.SCORE_ONLY)))
+    The lower-cased text and the sums are columns of their own, so that they are computed once a row and not once for
+    every phrase and score.
+    """
+    low, name = "__low", f"`{text}`"
+    df = df.withColumn(low, F.lower(F.col(name)))
+    df = df.withColumn("__sum", raw_sum(F.col(low), lexicons.VALENCES)).withColumn("__more", raw_sum(F.col(low), lexicons.SCORE_ONLY))
+    df = df.withColumn("__factor", adjusted(F.col(low), F.lit(1.0)))
+    df = df.withColumn("__l", F.col("__sum") * F.col("__factor") + 0.0).withColumn("__c", (F.col("__sum") + F.col("__more")) * F.col("__factor") + 0.0)
+    df = df.withColumn("label_score", squashed(F.col("__l"))).withColumn("compound", squashed(F.col("__c")))
+    return df.drop(low, "__sum", "__more", "__factor", "__l", "__c")
 
 
 def label_of(score: Column, threshold: float = THRESHOLD) -> Column:
     return F.when(score >= threshold, "positif").when(score <= -threshold, "negatif").otherwise("netral")
 
 
-def label(text: Column) -> Column:
-    return label_of(label_compound(text))
-
-
-def strict_label(text: Column) -> Column:
-    """Label with phrases, intensifiers and negations matched as whole words only."""
-    words = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}-]+", " "), F.lit(" "))
+def strict_labels(df: DataFrame, text: str) -> DataFrame:
+    """df with `strict_sentiment`: phrases, intensifiers and negations matched as whole words only."""
+    words = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.col(f"`{text}`")), r"[^\p{L}\p{N}-]+", " "), F.lit(" "))
     pad = lambda phrases: tuple(f" {p} " for p in phrases)
-    total = raw_sum(words, {v: pad(p) for v, p in lexicons.VALENCES.items()})
-    boosted = total * F.when(_any(words, pad(lexicons.INTENSIFIERS)), BOOST).otherwise(1.0)
-    return label_of(squashed(boosted * F.when(_any(words, pad(lexicons.NEGATIONS)), FLIP).otherwise(1.0)))
+    low = F.col("__words")
+    df = df.withColumn("__words", words)
+    df = df.withColumn("__sum", raw_sum(low, {v: pad(p) for v, p in lexicons.VALENCES.items()}))
+    boosted = F.col("__sum") * F.when(_any(low, pad(lexicons.INTENSIFIERS)), BOOST).otherwise(1.0)
+    df = df.withColumn("__score", boosted * F.when(_any(low, pad(lexicons.NEGATIONS)), FLIP).otherwise(1.0))
+    return df.withColumn("strict_sentiment", label_of(squashed(F.col("__score")))).drop("__words", "__sum", "__score")
 
 
 def service_label(score: Column, threshold: float = THRESHOLD) -> Column:

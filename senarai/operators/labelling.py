@@ -18,7 +18,8 @@ def auto_label(df: DataFrame, text: str, keep: tuple[str, ...] = ()) -> DataFram
     """
     usable = ~F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(TRIMMED)).isin("", "0")
     rows = df.where(usable).select(*keep, F.col(text).alias("raw"))
-    return rows.select(*keep, "raw", sentiment.label(F.col("raw")).alias("sentiment"), sentiment.compound(F.col("raw")).alias("confidence"))
+    scored = sentiment.scores(rows, "raw")
+    return scored.select(*keep, "raw", sentiment.label_of(F.col("label_score")).alias("sentiment"), F.col("compound").alias("confidence"))
 
 
 def _percentages(counts: DataFrame) -> DataFrame:
@@ -102,11 +103,12 @@ def analyze(df: DataFrame, text: str, keep: tuple[str, ...] = (), default: str =
     """
     trimmed = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(TRIMMED))
     rows = df.select(*keep, F.when(trimmed == "", F.lit(default)).otherwise(trimmed).alias("original_text"))
-    low = F.lower(F.col("original_text"))
+    rows = sentiment.scores(rows, "original_text").withColumn("__low", F.lower("original_text"))
+    low = F.col("__low")
     positive = sum((sentiment._contained(low, p) for v, p in lexicons.VALENCES.items() if v > 0), F.lit(0))
     negative = sum((sentiment._contained(low, p) for v, p in lexicons.VALENCES.items() if v < 0), F.lit(0))
-    words = F.greatest(F.size(F.split(low, rf"[{SPACE}]+")), positive + negative, F.lit(1))
-    rows = rows.select(*keep, "original_text", positive.alias("p"), negative.alias("n"), words.alias("w"), sentiment.compound(F.col("original_text")).alias("c"))
+    rows = rows.withColumn("p", positive).withColumn("n", negative).withColumnRenamed("compound", "c")
+    rows = rows.withColumn("w", F.greatest(F.size(F.split(low, rf"[{SPACE}]+")), F.col("p") + F.col("n"), F.lit(1)))
     scores = F.struct(
         F.round(F.col("n") / F.col("w"), 3).alias("neg"),
         F.round((F.col("w") - F.col("p") - F.col("n")) / F.col("w"), 3).alias("neu"),

@@ -52,13 +52,14 @@ def repeat_key(column: Column) -> Column:
 def keep_first(df: DataFrame, order: str, column: str = "stemming") -> DataFrame:
     """The first row, by order (unique), of every group of equal results, ignoring case and outer blanks.
 
-    The first row's number of every key is found by an aggregation that combines before the shuffle, and rows are
-    matched to it by (key digest, order): a result that a third of all rows share is no hot spot. An empty table stays
-    empty. Result columns are those of df.
+    One aggregation that keeps the smallest row of every key and combines before the shuffle, so a result that a third
+    of all rows share is no hot spot and the stages are computed once. An empty table stays empty. Result columns are
+    those of df.
     """
-    digest = F.unhex(F.md5(repeat_key(F.col(column))))
-    first = df.groupBy(digest.alias("__key")).agg(F.min(order).alias("__first")).select("__first")
-    return df.join(first, F.col(order) == F.col("__first"), "left_semi")
+    others = [c for c in df.columns if c != order]
+    row = F.struct(F.col(order), *map(F.col, others))
+    first = df.groupBy(F.unhex(F.md5(repeat_key(F.col(column)))).alias("__key")).agg(F.min(row).alias("__row"))
+    return first.select(*[F.col("__row")[c].alias(c) for c in df.columns])
 
 
 def wrangle(df: DataFrame, order: str, column: str = "stemming") -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..functions.lexicons import LABELS
 from ..operators import evaluate, features, labelling, model, preprocess, rejects
 from ..session import cut_lineage, ensure_checkpoint_dir
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from ..streaming import reviews
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,7 +21,7 @@ SAMPLE_ROWS = 500
 
 
 def _reviews(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "raw_reviews")
+    return spread(table(spark, folder, "raw_reviews").select("row_id", "ulasan", "lang"))
 
 
 def _r6(name: str):
@@ -37,8 +37,8 @@ def sentiment_label(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def strict_label(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _reviews(spark, folder).where("ulasan IS NOT NULL")
-    return rows.select("row_id", sentiment.strict_label(F.col("ulasan")).alias("sentiment"))
+    rows = sentiment.strict_labels(_reviews(spark, folder).where("ulasan IS NOT NULL"), "ulasan")
+    return rows.select("row_id", F.col("strict_sentiment").alias("sentiment"))
 
 
 def sentiment_distribution(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,7 +91,7 @@ def preprocess_full(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def preprocess_labelled(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "labelled").withColumn("sentiment", F.coalesce("sentiment", F.lit("netral")))
+    rows = spread(table(spark, folder, "labelled").select("row_id", "raw", F.coalesce("sentiment", F.lit("netral")).alias("sentiment")))
     done = preprocess.stages(rows, "raw", ("row_id", "sentiment"))
     return preprocess.wrangle(done, "row_id").select("row_id", "stemming", "sentiment")
 
@@ -131,8 +131,8 @@ def page_summary(spark: SparkSession, folder: str) -> DataFrame:
 def bulk_edit(spark: SparkSession, folder: str) -> DataFrame:
     """Every row whose id divides by 50 is corrected to the auto-label, through (page, row) edits."""
     rows = _labelled_pages(spark, folder)
-    at = rows.where(F.col("row_id") % 50 == 0)
-    edits = at.select((F.floor(F.col("pos") / 100) + 1).alias("page"), (F.col("pos") % 100).alias("row"), sentiment.label(F.col("raw")).alias("label"))
+    at = sentiment.scores(rows.where(F.col("row_id") % 50 == 0), "raw")
+    edits = at.select((F.floor(F.col("pos") / 100) + 1).alias("page"), (F.col("pos") % 100).alias("row"), sentiment.label_of(F.col("label_score")).alias("label"))
     return labelling.bulk_edit(rows, edits).select("row_id", "sentiment", "confidence")
 
 
@@ -264,7 +264,7 @@ def stream_sentiment(spark: SparkSession, folder: str) -> DataFrame:
     """The labels of sentiment_label, by a stream over the table's files."""
     ensure_checkpoint_dir(spark)
     place = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
-    stream = reviews.read_reviews(spark, f"{folder}/raw_reviews.parquet*", _reviews(spark, folder))
+    stream = reviews.read_reviews(spark, f"{folder}/raw_reviews.parquet*", table(spark, folder, "raw_reviews"))
     labelled = reviews.label_stream(stream, "ulasan", ("row_id",)).select("row_id", "sentiment", _r6("confidence"))
     reviews.drain(labelled, f"{place}/out", f"{place}/state")
     return spark.read.schema(labelled.schema).parquet(f"{place}/out")

@@ -241,7 +241,7 @@ def oracle_sql() -> dict[str, str]:
               FROM (SELECT label, (sum(n) FILTER (actual = label AND predicted = label))::BIGINT AS tp, sum(n) FILTER (actual = label) AS row_n, sum(n) FILTER (predicted = label) AS col_n, (sum(n) FILTER (actual = predicted))::BIGINT AS correct, max(total_samples) AS total
                 FROM {_confusion('')} CROSS JOIN {_CLASSES} GROUP BY label))""",
         "compare_methods": f"SELECT method, sample_count, {_r('accuracy', 'precision', 'recall', 'f1_score')}, (row_number() OVER (ORDER BY accuracy DESC, first_seen, method))::INT AS place FROM {_methods()}",
-        "best_method": f"SELECT method AS best_method, {_r('accuracy')[:-8]}best_accuracy FROM {_methods()} WHERE accuracy > 0 ORDER BY accuracy DESC, first_seen, method LIMIT 1",
+        "best_method": f"SELECT method AS best_method, round(accuracy, 6) + 0.0 AS best_accuracy FROM {_methods()} WHERE accuracy > 0 ORDER BY accuracy DESC, first_seen, method LIMIT 1",
         "evaluation_report": _report(),
         "cosine_knn": f"""WITH tr AS MATERIALIZED {split("split = 'train'")}, te AS MATERIALIZED {split("split IN ('test', 'valid')")}, idf AS MATERIALIZED {_idf("tr")},
             l AS (SELECT row_id, label, md5('senarai' || row_id::VARCHAR) AS mix FROM tr),

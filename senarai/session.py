@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +38,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder, so a lost executor costs a re-read and not a recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package's modules to the executors, once a context, for sessions whose workers don't have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_senarai_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    handle, path = tempfile.mkstemp(prefix="senarai-", suffix=".zip")
+    os.close(handle)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for module in sorted(root.rglob("*.py")):
+            archive.write(module, module.relative_to(root.parent))
+    context.addPyFile(path)
+    context._senarai_shipped = True
