@@ -63,7 +63,9 @@ def keep_first(df: DataFrame, order: str, column: str = "stemming") -> DataFrame
 
 
 def wrangle(df: DataFrame, order: str, column: str = "stemming") -> DataFrame:
-    return keep_first(drop_empty(df, column), order, column)
+    """Without repeats and empty results. Empty results are one more repeated key, dropped after the aggregation: a filter
+    before it would be pushed into the stages and compute them twice."""
+    return drop_empty(keep_first(df, order, column), column)
 
 
 def removed_counts(df: DataFrame, column: str = "stemming") -> DataFrame:
