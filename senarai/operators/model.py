@@ -75,7 +75,9 @@ def train_one_vs_rest(
     sample = cut_lineage(clean.join(chosen.select(key), key, "left_semi"))
     weights = cut_lineage(features.tfidf(sample, key, "text", idf))
     vocabulary = cut_lineage(features.top_vocabulary(weights.groupBy("term").agg(F.count(F.lit(1)).alias("df")), max_vocabulary))
-    vectors = cut_lineage(sample.select(key, "label").join(dense_vectors(weights, key, vocabulary), key))
+    vectors = sample.select(key, "label").join(dense_vectors(weights, key, vocabulary), key)
+    # A sample of bounded size is one partition: every iteration is then one short task and no shuffle.
+    vectors = cut_lineage(vectors.coalesce(1) if max_train and max_train <= 10_000 else vectors)
     n = vectors.count()
     labels = [r[0] for r in features.first_seen_labels(vectors, "label", key).orderBy("first_seen").limit(MAX_LABELS).collect()]
     machines, scales = [], []
