@@ -14,7 +14,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +32,25 @@ GRAM = 4
 DIMENSION = 2048
 SEED = 7
 #: Bounds of what the model is fitted on: known sentences, and labelled rows of the corpus chosen by a hash of their id.
-MAX_SAMPLES, SAMPLE_ROWS, SAMPLE_CHARS = 5_000, 1_500, 1_000
+MAX_SAMPLES, SAMPLE_ROWS, LANGUAGE_ROWS, SAMPLE_CHARS = 5_000, 1_500, 300, 1_000
 MARGIN, RATE, EPOCHS = 0.06, 0.1, 15
 #: A sentence counts as one of another language than the text's main one from these on.
-FOREIGN_MARGIN, FOREIGN_WORDS, FOREIGN_LETTERS = 0.06, 4, 15
-#: A shorter sentence needs this margin.
-SHORT_WORDS, SHORT_MARGIN = 3, 0.15
-#: Longer sentences are searched inside for a stretch of another language, of at least so many words and such a margin.
+FOREIGN_MARGIN, FOREIGN_WORDS, FOREIGN_LETTERS = 0.06, 6, 15
+#: Shorter and very short sentences need these margins.
+SHORT_WORDS, SHORT_MARGIN, FEW_WORDS, FEW_MARGIN = 4, 0.09, 3, 0.15
+#: Longer sentences are searched inside for a stretch of another language, of at least so many words and such a margin:
+#: first where the stretch begins and ends at words with a capital, as sentences without full stops do, then anywhere.
 LONG_WORDS, STRETCH_WORDS, STRETCH_MARGIN = 20, 5, 0.18
+CUT_LONG, CUT_WORDS, CUT_MARGIN = 9, 4, 0.12
+#: A sentence clearer than this holds no such stretch, unless it is long.
+CLEAR_MARGIN = 0.25
+#: No stretch of CUT_WORDS words and CUT_MARGIN has a smaller sum than this (about 17 runs of letters).
+LEAST_GAIN = 0.5
+#: Above this share of words with a capital, capitals mean nothing in a sentence; below, a later word with one is a name.
+SHOUTED = 0.5
 STEEPNESS = 40.0
 
-_NOISE = re.compile(r"\S+://\S+|\S*[@#]\S+|\S*[(\[](?:at|dot)[)\]]\S*", re.I)
+_NOISE = re.compile(r"\S+://\S+|\S+\s@\s\S+|\S*[@#]\S+|\S*\s?[(\[]at[)\]]\s?\S+(?:\s?[(\[]dot[)\]]\s?\S+)*", re.I)
 _HAN, _OTHER, _DROP = 27, 28, 255
 _ENDS = np.array([ord(c) for c in ".!?…。！？\n"], dtype=np.uint32)
 _HARD_ENDS = np.array([ord(c) for c in "。！？\n"], dtype=np.uint32)
@@ -74,10 +82,12 @@ class Split:
     sentence: np.ndarray  # number of that sentence
     text: np.ndarray  # text of every sentence
     letters: np.ndarray
+    hans: np.ndarray  # Han letters of every sentence
     words: np.ndarray
     begin: np.ndarray  # first character of every sentence in its text
     end: np.ndarray
     run_word: np.ndarray  # word of each run, counted over the batch
+    capital: np.ndarray  # whether each word begins with a capital
 
 
 def split_batch(texts: list[str]) -> Split:
@@ -89,9 +99,17 @@ def split_batch(texts: list[str]) -> Split:
     offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     text_of = np.repeat(np.arange(len(clean)), lengths)
     ends = np.isin(points, _ENDS)
+    picture = ((points >= 0x1F300) & (points < 0x1FB00)) | ((points >= 0x2600) & (points < 0x27C0))
     following = np.concatenate([codes[1:], [0]])
     follows_digit = np.concatenate([(points[1:] >= 48) & (points[1:] <= 57), [False]])
     ends &= ((following == 0) & ~follows_digit) | np.isin(points, _HARD_ENDS)
+    ends |= picture
+    script = np.where(codes == _HAN, 1, np.where((codes > 0) & (codes < _HAN), 2, 0))
+    if (script == 1).any():
+        # a change between Han and Latin letters, with at most one other character between, ends a stretch
+        changes = np.flatnonzero((script[1:] > 0) & (script[:-1] > 0) & (script[1:] != script[:-1]))
+        apart = np.flatnonzero((script[2:] > 0) & (script[1:-1] == 0) & (script[:-2] > 0) & (script[2:] != script[:-2])) + 1
+        ends[changes] = ends[apart] = True
     sid = np.concatenate([[0], np.cumsum(ends)[:-1]])
     n = int(sid[-1]) + 1 if len(sid) else 0
     first = np.concatenate([[0], np.flatnonzero(ends)[:-1] + 1]) if n else np.zeros(0, np.int64)
@@ -101,27 +119,34 @@ def split_batch(texts: list[str]) -> Split:
     end = np.minimum(end, lengths[text] - 2)
     letter = (codes > 0) & (codes < _DROP)
     letters = np.bincount(sid[letter], minlength=n)
+    hans = np.bincount(sid[codes == _HAN], minlength=n)
     keep = codes < _DROP
-    c, s = codes[keep], sid[keep]
+    c, s, up = codes[keep], sid[keep], ((points >= 65) & (points <= 90))[keep]
     blank = c == 0
     keep2 = np.ones(len(c), dtype=bool)
     keep2[1:] = ~(blank[1:] & blank[:-1] & (s[1:] == s[:-1]))
-    c, s = c[keep2].astype(np.int64), s[keep2]
+    c, s, up = c[keep2].astype(np.int64), s[keep2], up[keep2]
     new_word = np.zeros(len(c), dtype=bool)
     new_word[1:] = (c[1:] > 0) & ((c[:-1] == 0) | (s[1:] != s[:-1]))
-    words = np.bincount(s[new_word], minlength=n)
     word_no = np.cumsum(new_word)
+    capital, owner = up[new_word], s[new_word]
+    words = np.bincount(owner, minlength=n)
+    shouted = np.bincount(owner[capital], minlength=n) > SHOUTED * words
+    opening = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, bool)
+    name = capital & ~opening & ~shouted[owner]
+    words = words - np.bincount(owner[name], minlength=n)
+    named = np.concatenate([[False], name])
     m = len(c) - GRAM + 1
     if m <= 0:
         empty = np.zeros(0, np.int64)
-        return Split(empty, empty, empty, text, letters, words, begin, end, empty)
+        return Split(empty, empty, empty, text, letters, hans, words, begin, end, empty, capital)
     runs = c[:m].copy()
     for k in range(1, GRAM):
         runs = runs * LETTERS + c[k : k + m]
-    inside = s[:m] == s[GRAM - 1 :]
+    inside = (s[:m] == s[GRAM - 1 :]) & ~named[word_no[1 : m + 1]] & ~named[word_no[GRAM - 1 :]]
     runs, owner = runs[inside], s[:m][inside]
     starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
-    return Split(runs, starts, owner[starts], text, letters, words, begin, end, word_no[1 : m + 1][inside])
+    return Split(runs, starts, owner[starts], text, letters, hans, words, begin, end, word_no[1 : m + 1][inside], capital)
 
 
 class Profiles:
@@ -229,8 +254,8 @@ def sentence_languages(profiles: Profiles, texts: list[str]) -> tuple[Split, np.
     best, second = order[:, -1], order[:, -2]
     rows = np.arange(len(best))
     margin = cosine[rows, best] - cosine[rows, second]
-    han = split.words * 4 < split.letters // 2
-    solid = (count > 0) & ((split.letters >= FOREIGN_LETTERS) | han) & ((split.words >= SHORT_WORDS) | han & (split.letters >= 5))
+    han = split.hans * 2 > split.letters
+    solid = (count > 0) & ((split.letters >= FOREIGN_LETTERS) | han) & ((split.words >= FEW_WORDS) | han & (split.letters >= 5))
     sums = np.zeros((len(texts), total.shape[1]))
     weak = np.zeros_like(sums)
     # sums of cosine times sqrt(runs) are plain sums of products: long sentences weigh more
@@ -244,13 +269,14 @@ def sentence_languages(profiles: Profiles, texts: list[str]) -> tuple[Split, np.
     main = np.where(known, sums.argmax(axis=1), -1)
     own_main = main[split.text]
     over_main = cosine[rows, best] - cosine[rows, np.maximum(own_main, 0)]
-    short = (split.words < FOREIGN_WORDS) & ~han
-    foreign = solid & (own_main >= 0) & (best != own_main) & (over_main >= np.where(short, SHORT_MARGIN, FOREIGN_MARGIN))
+    needed = np.where(split.words < SHORT_WORDS, FEW_MARGIN, np.where(split.words < FOREIGN_WORDS, SHORT_MARGIN, FOREIGN_MARGIN))
+    foreign = solid & (own_main >= 0) & (best != own_main) & (over_main >= np.where(han, FOREIGN_MARGIN, needed))
     language = np.where(count > 0, np.where(foreign, best, own_main), -1)
     sets: list[set[int]] = [set() if k < 0 else {int(k)} for k in main]
     for k in np.flatnonzero(foreign):
         sets[split.text[k]].add(int(best[k]))
-    for k in np.flatnonzero((split.words >= LONG_WORDS) & (count > 0)):
+    unclear = (split.words >= CUT_LONG) & (margin < CLEAR_MARGIN) | (split.words >= LONG_WORDS)
+    for k in np.flatnonzero(unclear & (count > 0)):
         _search_inside(profiles, split, int(k), sets[split.text[k]], int(language[k]))
     return split, language, np.where(foreign, over_main, margin), main, sets
 
@@ -264,11 +290,30 @@ def _search_inside(profiles: Profiles, split: Split, sentence: int, found: set[i
     edges = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
     values = np.add.reduceat(profiles.table[split.runs[lo:hi]], edges, axis=0, dtype=np.float64)
     runs = np.diff(np.concatenate([edges, [hi - lo]]))
-    for k in range(values.shape[1]):
-        if k != own:
-            strength, i, j = _stretch(values[:, k] - values[:, own], runs)
-            if j - i >= STRETCH_WORDS and strength >= STRETCH_MARGIN and values[i:j].sum(axis=0).argmax() == k:
+    number = word[edges]
+    cap = split.capital[np.maximum(number - 1, 0)]
+    cap[1:] |= number[1:] - number[:-1] > 1  # a name, or the first word of a sentence, was left out between
+    telling = cap.mean() <= SHOUTED
+    over = values - values[:, own : own + 1]
+    sums = np.cumsum(over, axis=0)
+    before = np.minimum.accumulate(np.vstack([np.zeros((1, sums.shape[1])), sums[:-1]]), axis=0)
+    best_gain = (sums - before).max(axis=0)
+    for k in np.flatnonzero(best_gain >= LEAST_GAIN).tolist():
+        if k == own or k in found:
+            continue
+        diff = values[:, k] - values[:, own]
+        if telling and cap[1:].any():
+            # whole stretches between words with a capital only
+            cuts = np.flatnonzero(np.concatenate([[True], cap[1:]]))
+            strength, i, j = _stretch(np.add.reduceat(diff, cuts), np.add.reduceat(runs, cuts))
+            ends = np.concatenate([cuts, [len(diff)]])
+            i, j = ends[i], ends[j]
+            if CUT_WORDS <= j - i and (len(diff) - (j - i) >= CUT_WORDS) and strength >= CUT_MARGIN and values[i:j].sum(axis=0).argmax() == k:
                 found.add(k)
+                continue
+        strength, i, j = _stretch(diff, runs)
+        if len(diff) >= LONG_WORDS and j - i >= STRETCH_WORDS and strength >= STRETCH_MARGIN and values[i:j].sum(axis=0).argmax() == k:
+            found.add(k)
 
 
 def clean_label(label: Column) -> Column:
@@ -280,17 +325,16 @@ def clean_label(label: Column) -> Column:
 
 
 def corpus_profiles(samples: DataFrame, sample_lang: str, sample: str, docs: DataFrame, key: str, text: str, label: str) -> Profiles:
-    """Profiles fitted on at most MAX_SAMPLES known sentences and SAMPLE_ROWS labelled texts, both chosen by hash, the
-    texts cut to SAMPLE_CHARS for fitting only. These bounds fit the model; every row is then classified whole."""
+    """Profiles fitted on at most MAX_SAMPLES known sentences and SAMPLE_ROWS labelled texts, with at least LANGUAGE_ROWS of every
+    language that has them, chosen by hash, the texts cut to SAMPLE_CHARS for fitting only. These bounds fit the model; every row is then classified whole."""
     known = (
         samples.where(F.col(sample).isNotNull()).select(F.col(sample_lang).alias("l"), F.col(sample).alias("s"))
         .orderBy(F.xxhash64("s"), "s", "l").limit(MAX_SAMPLES).collect()
     )
-    rows = (
-        docs.select(F.col(key).alias("k"), clean_label(F.col(label)).alias("l"), F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t"))
-        .where(F.col("l").isin(*LANGUAGES) & (F.length("t") >= MIN_LETTERS))
-        .orderBy(F.xxhash64("k"), "k").limit(SAMPLE_ROWS).collect()
-    )
+    labelled = docs.select(F.col(key).alias("k"), clean_label(F.col(label)).alias("l"), F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t")).where(F.length("t") >= MIN_LETTERS)
+    mixed = [labelled.where(F.col("l").isin(*LANGUAGES)).orderBy(F.xxhash64("k"), "k").limit(SAMPLE_ROWS)]
+    each = [labelled.where(F.col("l") == lang).orderBy(F.xxhash64("k"), "k").limit(LANGUAGE_ROWS) for lang in LANGUAGES]
+    rows = {(r.k, r.l): r for r in reduce(DataFrame.unionByName, mixed + each).collect()}.values()
     return fit([(r.l, r.s) for r in known], [(r.l, r.t) for r in rows])
 
 

@@ -53,6 +53,8 @@ _NIK = re.compile(r"(?<![\d/#])(?<!\d[.-])(?:\d[ .-]?){15}\d(?![.-]?\d)")
 _NPWP = re.compile(r"(?<![\d/#])(?<!\d[.-])\d{2}[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d[ .-]?\d{3}[ .-]?\d{3}(?![.-]?\d)")
 _MOBILE = re.compile(r"(?<![\d/#])(?<!\d[.-])(?:\(?\+?62\)?[\s.-]?(?:\(0\))?|\(?0)8\)?(?:[\s.-]?\d){7,11}(?![.-]?\d)")
 _LANDLINE = re.compile(r"(?<![\d/#])(?<!\d[.-])(?:\(0[2-9]\d{1,2}\)|(?:\(?\+?62\)?[\s.-]?|0)[2-7]\d{1,2})[\s.-]?\d{3,4}[\s.-]?\d{3,4}(?![.-]?\d)")
+_SPELLED = re.compile(r"(?<!\w)(?:nol|kosong|zero|oh|plus)(?:[\s,.-]+(?:nol|kosong|satu|dua|tiga|empat|lima|enam|tujuh|delapan|lapan|sembilan|zero|oh|one|two|three|four|five|six|seven|eight|nine)){8,14}(?!\w)", re.I)
+_SPELLED_HINTS = frozenset(("nol", "kosong", "zero", "oh"))
 _CARD = re.compile(r"(?<![\d/#])(?<!\d[.-])(?:\d[ -]?){12,18}\d(?![.-]?\d)")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _AGAINST = re.compile(r"\b(?:voucher|vocer|kupon|coupon|invoice|inv|faktur|tiket|ticket|kode|code|resi|order|pesanan|transaksi|versi|version|tanggal|rp)\b", re.I)
@@ -216,6 +218,9 @@ def find_personal(text: str, names: frozenset[str]) -> list[tuple[str, int, int,
         _addresses(s)
         if _DIGITS.search(s.text):
             _numbers(s)
+    if not s.words.isdisjoint(_SPELLED_HINTS):
+        for m in list(_SPELLED.finditer(s.text)):
+            s.add("phone", m.start(), m.end(), 0.8)
     _names(s, names)
     return s.found if len(s.found) < 2 else sorted(s.found, key=lambda x: x[1])
 

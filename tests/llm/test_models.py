@@ -10,7 +10,7 @@ NAMES = frozenset(("sari", "tono", "wati"))
 FOUND = [
     ("email saya sari.t+x@kotak.example ya", {"email"}), ("tulis ke a-b [at] mail [dot] kotak [dot] example", {"email"}), ("ke a(at)b.example", {"email"}),
     ("kirim a_b @ c.example,", {"email"}), ("ke a at b dot com ya", {"email"}), ("WA 0812-3456-7890", {"phone"}), ("hp 08 12 34 56 78 90", {"phone"}), ("(+62)812-3456-7890", {"phone"}),
-    ("telepon (021) 5557 361", {"phone"}), ("0812345678901234567", set()), ("NIK 1234561505801234", {"id_number"}), ("KTP 123456 550580 1234", {"id_number"}),
+    ("telepon (021) 5557 361", {"phone"}), ("0812345678901234567", set()), ("WA nol delapan satu dua, tiga empat lima enam tujuh", {"phone"}), ("nol delapan kali", set()), ("NIK 1234561505801234", {"id_number"}), ("KTP 123456 550580 1234", {"id_number"}),
     ("kode voucher 1234561505801234", set()), ("1234569905801234", set()), ("NPWP 01.234.567.8-901.234", {"id_number"}), ("INV/0841/2025/20488", set()),
     ("total Rp 2.565.000. nik:6895105505769414", {"id_number"}), ("rumah di Jl. Melati No. 10", {"address"}), ("jl melati 42, kota", {"address"}),
     ("Gg. Melati RT 05/RW 04", {"address"}), ("Komplek Melati Blok A88 no 37", {"address"}), ("Perum Melati Asri blok E/79", {"address"}),
@@ -74,6 +74,13 @@ def test_languages(spark):
     assert langid.label_corrections(df.limit(0), "row_id", "t", "lab", _profiles()).count() == 0
 
 
+def test_stretches_without_full_stops():
+    p = _profiles()
+    run_on = "Petugas sangat membantu keluarga kami setiap hari The service was much faster than expected by all"
+    *_, found = langid.sentence_languages(p, [run_on, "昨天晚上客服比预期快得多 petugas sangat membantu keluarga kami", "Petugas sangat membantu keluarga Sarah Smith"])
+    assert [{langid.LANGUAGES[k] for k in s} for s in found] == [{"id", "en"}, {"id", "zh"}, {"id"}]
+
+
 def test_batches_equal_single_texts():
     texts = ["Petugas membantu. The service was fast", "", "a", "昨天晚上。一切", "x" * 3_000, "kata\n\nkata lain!!! ok?"]
     p = _profiles()
