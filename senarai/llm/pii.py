@@ -57,6 +57,7 @@ _SPELLED = re.compile(r"(?<!\w)(?:nol|kosong|zero|oh|plus)(?:[\s,.-]+(?:nol|koso
 _SPELLED_HINTS = frozenset(("nol", "kosong", "zero", "oh"))
 _CARD = re.compile(r"(?<![\d/#])(?<!\d[.-])(?:\d[ -]?){12,18}\d(?![.-]?\d)")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+_BREAK = re.compile(r"[.,!?;]\s|\n")
 _AGAINST = re.compile(r"\b(?:voucher|vocer|kupon|coupon|invoice|inv|faktur|tiket|ticket|kode|code|resi|order|pesanan|transaksi|versi|version|tanggal|rp)\b", re.I)
 _FOR_PHONE = re.compile(r"\b(?:hp|wa|whatsapp|telp|telepon|tlp|hubungi|nomor|no|phone|call|number|kontak|contact)\b", re.I)
 _FOR_ID = re.compile(r"\b(?:nik|ktp|npwp|pajak|identitas|national id|id|data diri|tax)\b", re.I)
@@ -158,7 +159,7 @@ def _numbers(s: _Spans) -> None:
             digits = _digits(m[0])
             if not valid(digits):
                 continue
-            near = s.before(m.start())
+            near = _BREAK.split(s.before(m.start()))[-1]
             last = lambda p: max((x.end() for x in p.finditer(near)), default=-1)
             against, supported = last(_AGAINST), last(supports) if supports else -1
             score = base + (0.3 if supported > against else -0.5 if against >= 0 else 0.0)

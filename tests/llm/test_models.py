@@ -12,7 +12,7 @@ FOUND = [
     ("kirim a_b @ c.example,", {"email"}), ("ke a at b dot com ya", {"email"}), ("WA 0812-3456-7890", {"phone"}), ("hp 08 12 34 56 78 90", {"phone"}), ("(+62)812-3456-7890", {"phone"}),
     ("telepon (021) 5557 361", {"phone"}), ("0812345678901234567", set()), ("WA nol delapan satu dua, tiga empat lima enam tujuh", {"phone"}), ("nol delapan kali", set()), ("NIK 1234561505801234", {"id_number"}), ("KTP 123456 550580 1234", {"id_number"}),
     ("kode voucher 1234561505801234", set()), ("1234569905801234", set()), ("NPWP 01.234.567.8-901.234", {"id_number"}), ("INV/0841/2025/20488", set()),
-    ("total Rp 2.565.000. nik:6895105505769414", {"id_number"}), ("rumah di Jl. Melati No. 10", {"address"}), ("jl melati 42, kota", {"address"}),
+    ("Versi 4.23.4, 086816887660 aktif", {"phone"}), ("total Rp 2.565.000. nik:6895105505769414", {"id_number"}), ("rumah di Jl. Melati No. 10", {"address"}), ("jl melati 42, kota", {"address"}),
     ("Gg. Melati RT 05/RW 04", {"address"}), ("Komplek Melati Blok A88 no 37", {"address"}), ("Perum Melati Asri blok E/79", {"address"}),
     ("tidak ada jalan keluar nomor 3", set()), ("jalan-jalan ke Melati 8 hari", set()), ("macet di jalan tol 3 jam", set()), ("I live at 44 Melati Street", {"address"}),
     ("Melati Road No. 86", {"address"}), ("after 22 complaints the toll road traffic", set()), ("nama saya Budi Santoso", {"person_name"}), ("mbak rini sangat sopan", {"person_name"}),
