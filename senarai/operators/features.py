@@ -65,6 +65,25 @@ def top_vocabulary(frequencies: DataFrame, n: int = MAX_VOCABULARY) -> DataFrame
     return top.select("term", "df", F.row_number().over(Window.orderBy(F.desc("df"), F.asc("term"))).alias("place"))
 
 
+def first_vocabulary(df: DataFrame, key: str, text: str, idf: DataFrame, n: int = 20) -> DataFrame:
+    """term, idf, place: the n terms that appear first, in the order of key and of the words. A report of constant size."""
+    words = df.where(F.col(text).isNotNull()).select(F.col(key).alias("__key"), F.posexplode(_tokens(F.col(text))).alias("__at", "term"))
+    seen = words.where(_kept(F.col("term"))).groupBy("term").agg(F.min(F.struct("__key", "__at")).alias("__first"))
+    first = seen.orderBy("__first").limit(n)
+    place = F.row_number().over(Window.orderBy("__first"))
+    return F.broadcast(first).join(idf, "term").select("term", "idf", place.alias("place"))
+
+
+def training_summary(df: DataFrame, text: str, label: str) -> DataFrame:
+    """One row: vocabulary_size, total_documents, avg_idf, min_idf, max_idf, n_labels of a training table."""
+    totals = df.agg(F.count(F.lit(1)).alias("total_documents"), F.countDistinct(label).alias("n_labels"))
+    return idf_stats(smoothed_idf(df, text)).join(F.broadcast(totals))
+
+
+def label_histogram(df: DataFrame, label: str) -> DataFrame:
+    return df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def stratified_sample(df: DataFrame, key: str, label: str, size: int, seed: str = "senarai") -> DataFrame:
     """key, label of `size` rows: an equal part of every label, topped up from the rest, all in the order of a seeded
     digest. A sampling operator: its size is its meaning. Each label's part is a top-k, so no label is sorted whole."""

@@ -39,6 +39,11 @@ def review_distribution(df: DataFrame, label: str) -> DataFrame:
     return _percentages(df.agg(*[F.count_if(name == c).alias(c) for c in lexicons.LABELS], F.count(F.lit(1)).alias("total")))
 
 
+def by_sentiment(df: DataFrame, label: str, wanted: str) -> DataFrame:
+    """Rows of one sentiment, case ignored; `all` keeps every row."""
+    return df if wanted == "all" else df.where(F.lower(F.col(label)) == wanted.lower())
+
+
 def dominance(counts: DataFrame) -> DataFrame:
     """verdict: the strictly largest class of a distribution row, else `seimbang`."""
     p, n, z = (F.col(c) for c in lexicons.LABELS)

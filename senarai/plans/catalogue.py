@@ -177,6 +177,29 @@ def top_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     return features.top_vocabulary(features.document_frequency(_classifier(spark, folder), "text"))
 
 
+def first_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _classifier(spark, folder)
+    return features.first_vocabulary(rows, "row_id", "text", features.smoothed_idf(rows, "text")).select("term", _r6("idf"), "place")
+
+
+def training_summary(spark: SparkSession, folder: str) -> DataFrame:
+    out = features.training_summary(_classifier(spark, folder), "text", "sentiment")
+    return out.select("vocabulary_size", "total_documents", _r6("avg_idf"), _r6("min_idf"), _r6("max_idf"), "n_labels")
+
+
+def label_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    return features.label_histogram(table(spark, folder, "labelled").select(T.clean_label(F.col("sentiment")).alias("s")), "s")
+
+
+def sentiment_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return labelling.by_sentiment(table(spark, folder, "labelled"), "sentiment", "positif").select("row_id", "sentiment")
+
+
+def svm_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """Per-class metrics of the classifier on the held-out splits."""
+    return evaluate.class_metrics(evaluate.cells(svm_predict(spark, folder), "actual_label", "predicted_label"))
+
+
 def stratified_sample(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "labelled").where("raw IS NOT NULL").select("row_id", T.sentiment_synonym(F.col("sentiment")).alias("label"))
     return features.stratified_sample(rows, "row_id", "label", SAMPLE_ROWS)
@@ -294,7 +317,8 @@ def queries() -> dict[str, Query]:
         sentiment_distribution, sentiment_label, strict_label, sentiment_distribution_by_lang, review_distribution, dominance_verdict,
         confidence_bars, distribution_bars, analyze_service, preprocess_full, preprocess_labelled, wrangle_keep_first,
         wrangle_removed_count, strict_cleansing, paginate, page_summary, bulk_edit, learned_keywords, classifier_text,
-        document_frequency, smoothed_idf, tfidf_vectors, idf_stats, top_terms, top_vocabulary, stratified_sample, class_metrics,
+        document_frequency, smoothed_idf, tfidf_vectors, idf_stats, top_terms, top_vocabulary, first_vocabulary, training_summary,
+        label_histogram, sentiment_filter, svm_metrics, stratified_sample, class_metrics,
         macro_metrics, confusion_matrix, confusion_metrics, compare_methods, best_method, evaluation_report, svm_predict,
         cosine_knn, stream_sentiment, p6_found, p6_loaded, p6_report,
     )

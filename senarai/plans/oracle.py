@@ -231,6 +231,13 @@ def oracle_sql() -> dict[str, str]:
         "idf_stats": f"SELECT {_r('avg_idf', 'min_idf', 'max_idf')}, vocabulary_size FROM (SELECT avg(idf) AS avg_idf, min(idf) AS min_idf, max(idf) AS max_idf, count(*) AS vocabulary_size FROM {_idf(_CLEAN)})",
         "top_terms": f"SELECT term, {_r('tf')}, place FROM (SELECT term, c::DOUBLE / sum(c) OVER () AS tf, (row_number() OVER (ORDER BY c DESC, term))::INT AS place FROM (SELECT term, count(*) AS c FROM {_words(_CLEAN)} WHERE strlen(term) > 1 GROUP BY term)) WHERE place <= 20",
         "top_vocabulary": f"SELECT term, df, place FROM (SELECT term, df, (row_number() OVER (ORDER BY df DESC, term))::INT AS place FROM {_df(_CLEAN)}) WHERE place <= 300",
+        "first_vocabulary": f"""SELECT term, {_r('idf')}, (row_number() OVER (ORDER BY rid, ps))::INT AS place FROM
+            (SELECT term, min(row_id) AS rid, arg_min(ps, row_id * 1000000 + ps) AS ps FROM (SELECT row_id, unnest(w) AS term, generate_subscripts(w, 1) AS ps FROM
+              (SELECT row_id, list_filter(string_split(lower(text), ' '), lambda x: trim(x) <> '') AS w FROM {_CLEAN})) WHERE strlen(term) > 1 GROUP BY term) JOIN {_idf(_CLEAN)} USING (term)
+            QUALIFY place <= 20""",
+        "training_summary": f"SELECT vocabulary_size, total_documents, {_r('avg_idf', 'min_idf', 'max_idf')}, n_labels FROM (SELECT count(*) AS vocabulary_size, avg(idf) AS avg_idf, min(idf) AS min_idf, max(idf) AS max_idf FROM {_idf(_CLEAN)}), (SELECT count(*) AS total_documents, count(DISTINCT sentiment) AS n_labels FROM labelled WHERE raw IS NOT NULL)",
+        "label_histogram": f"SELECT lower({_trim('sentiment')}) AS label, count(*) AS n FROM labelled GROUP BY ALL",
+        "sentiment_filter": "SELECT row_id, sentiment FROM labelled WHERE lower(sentiment) = 'positif'",
         "stratified_sample": f"""WITH f AS {first} SELECT row_id, label FROM f UNION ALL
             (SELECT row_id, label FROM {labels} WHERE row_id NOT IN (SELECT row_id FROM f) ORDER BY mix, row_id LIMIT (SELECT greatest(0, {SAMPLE_ROWS} - count(*)) FROM f))""",
         "class_metrics": f"SELECT method, label, tp, fp, fn, {_r('precision', 'recall', 'f1_score')} FROM {_class_metrics('method,')}",

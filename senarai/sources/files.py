@@ -69,6 +69,12 @@ def read_results(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     return spark.read.format(fmt).load(path)
 
 
+def remove_results(spark: SparkSession, path: str) -> bool:
+    """Deletes a stored result, wherever the path's file system is; False if there was none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def write_report(lines: DataFrame, path: str) -> None:
     """Report lines (section, line, cells) as one ordered text of ragged comma-separated rows."""
     quoted = F.transform("cells", lambda c: F.when(c.rlike('[",\\n ]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c))
