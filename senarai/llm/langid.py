@@ -33,7 +33,7 @@ DIMENSION = 2048
 SEED = 7
 #: Bounds of what the model is fitted on: known sentences, and labelled rows of the corpus chosen by a hash of their id.
 MAX_SAMPLES, SAMPLE_ROWS, LANGUAGE_ROWS, SAMPLE_CHARS = 5_000, 1_500, 300, 1_000
-MARGIN, RATE, EPOCHS = 0.06, 0.1, 15
+MARGIN, RATE, EPOCHS = 0.06, 0.1, 10
 #: A sentence counts as one of another language than the text's main one from these on.
 FOREIGN_MARGIN, FOREIGN_WORDS, FOREIGN_LETTERS = 0.06, 6, 15
 #: Shorter and very short sentences need these margins.
@@ -45,12 +45,13 @@ CUT_LONG, CUT_WORDS, CUT_MARGIN = 9, 4, 0.12
 #: A sentence clearer than this holds no such stretch, unless it is long.
 CLEAR_MARGIN = 0.25
 #: No stretch of CUT_WORDS words and CUT_MARGIN has a smaller sum than this (about 17 runs of letters).
-LEAST_GAIN = 0.5
+LEAST_GAIN, PADDED_WORDS = 0.5, 64
 #: Above this share of words with a capital, capitals mean nothing in a sentence; below, a later word with one is a name.
 SHOUTED = 0.5
 STEEPNESS = 40.0
 
 _NOISE = re.compile(r"\S+://\S+|\S+\s@\s\S+|\S*[@#]\S+|\S*\s?[(\[]at[)\]]\s?\S+(?:\s?[(\[]dot[)\]]\s?\S+)*", re.I)
+_STOPS = re.compile(r"[.!?…。！？\n]")
 _HAN, _OTHER, _DROP = 27, 28, 255
 _ENDS = np.array([ord(c) for c in ".!?…。！？\n"], dtype=np.uint32)
 _HARD_ENDS = np.array([ord(c) for c in "。！？\n"], dtype=np.uint32)
@@ -172,7 +173,12 @@ def _letter_vectors(dimension: int) -> np.ndarray:
 def _sentence_vectors(sentences: list[str], letters: np.ndarray) -> np.ndarray:
     """A unit vector (runs taken as orthogonal) for every text, each one sentence."""
     dimension = letters.shape[1]
-    split = [split_batch([re.sub(r"[.!?…。！？\n]", " ", s)]).runs for s in sentences]
+    split = [np.zeros(0, np.int64)] * len(sentences)
+    for at, part in _chunks([_STOPS.sub(" ", x) for x in sentences]):
+        batch = split_batch(part)
+        ends = np.concatenate([batch.starts[1:], [len(batch.runs)]]) if len(batch.starts) else batch.starts
+        for k, lo, hi in zip(batch.text[batch.sentence].tolist(), batch.starts.tolist(), ends.tolist()):
+            split[at + k] = np.concatenate([split[at + k], batch.runs[lo:hi]])
     used = np.unique(np.concatenate([np.zeros(0, np.int64), *split]))
     vectors = np.ones((len(used), dimension), np.int8)
     for k in range(GRAM):
@@ -276,11 +282,38 @@ def sentence_languages(profiles: Profiles, texts: list[str]) -> tuple[Split, np.
     for k in np.flatnonzero(foreign):
         sets[split.text[k]].add(int(best[k]))
     unclear = (split.words >= CUT_LONG) & (margin < CLEAR_MARGIN) | (split.words >= LONG_WORDS)
-    for k in np.flatnonzero(unclear & (count > 0)):
+    for k in _uneven(profiles, split, np.flatnonzero(unclear & (count > 0)), language):
         _search_inside(profiles, split, int(k), sets[split.text[k]], int(language[k]))
     return split, language, np.where(foreign, over_main, margin), main, sets
 
 
+def _uneven(profiles: Profiles, split: Split, sentences: np.ndarray, language: np.ndarray) -> np.ndarray:
+    """Those of the sentences in which some stretch of words sums to LEAST_GAIN for another language than their own,
+    found for all at once in a padded array; very long ones are always kept."""
+    if not len(sentences):
+        return sentences
+    at = np.searchsorted(split.sentence, sentences)
+    bounds = np.concatenate([split.starts, [len(split.runs)]])
+    lengths = bounds[at + 1] - bounds[at]
+    row = np.repeat(np.arange(len(at)), lengths)
+    runs = np.arange(len(row)) + np.repeat(bounds[at] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
+    word = split.run_word[runs]
+    edges = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (row[1:] != row[:-1])]))
+    values = np.add.reduceat(profiles.table[split.runs[runs]], edges, axis=0, dtype=np.float32)
+    owner = row[edges]
+    own = language[sentences]
+    values -= values[np.arange(len(owner)), own[owner]][:, None]
+    words = np.bincount(owner, minlength=len(at))
+    place = np.arange(len(owner)) - np.concatenate([[0], np.cumsum(words)[:-1]])[owner]
+    long = words > PADDED_WORDS
+    usual = ~long[owner]
+    padded = np.zeros((len(at), int(words[~long].max(initial=1)) + 1, values.shape[1]), dtype=np.float32)
+    padded[owner[usual], place[usual] + 1] = values[usual]
+    sums = np.cumsum(padded, axis=1)
+    gain = (sums - np.minimum.accumulate(sums, axis=1)).max(axis=(1, 2))
+    return sentences[long | (gain >= LEAST_GAIN)]
+
+
 def _search_inside(profiles: Profiles, split: Split, sentence: int, found: set[int], own: int) -> None:
     """Adds the language of a stretch inside a long sentence that isn't in the sentence's own language."""
     at = int(np.searchsorted(split.sentence, sentence))
