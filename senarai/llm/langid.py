@@ -182,8 +182,10 @@ def _sentence_vectors(sentences: list[str], letters: np.ndarray) -> np.ndarray:
     used = np.unique(np.concatenate([np.zeros(0, np.int64), *split]))
     vectors = np.ones((len(used), dimension), np.int8)
     for k in range(GRAM):
-        vectors *= np.roll(letters, GRAM - 1 - k, axis=1)[(used // LETTERS ** (GRAM - 1 - k)) % LETTERS]
-    out = np.zeros((len(sentences), dimension), np.float32)
+        rolled = np.roll(letters, GRAM - 1 - k, axis=1)
+        for at in range(0, len(used), 4_096):  # in blocks, for the driver's memory
+            vectors[at : at + 4_096] *= rolled[(used[at : at + 4_096] // LETTERS ** (GRAM - 1 - k)) % LETTERS]
+    out = np.zeros((len(sentences), dimension), np.float16)
     for i, runs in enumerate(split):
         if len(runs):
             out[i] = vectors[np.searchsorted(used, runs)].sum(axis=0, dtype=np.float32) / np.sqrt(dimension * len(runs))
@@ -192,17 +194,18 @@ def _sentence_vectors(sentences: list[str], letters: np.ndarray) -> np.ndarray:
 
 def _retrain(x: np.ndarray, y: np.ndarray, languages: int) -> np.ndarray:
     unit = lambda q: q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
-    q = unit(np.array([x[y == k].sum(axis=0) if (y == k).any() else np.zeros(x.shape[1], np.float32) for k in range(languages)]))
+    q = unit(np.array([x[y == k].sum(axis=0, dtype=np.float32) if (y == k).any() else np.zeros(x.shape[1], np.float32) for k in range(languages)]))
     for epoch in range(EPOCHS):
         wrong = 0
         for i in np.random.default_rng(epoch).permutation(len(x)):
-            s = q @ x[i]
+            v = x[i].astype(np.float32)
+            s = q @ v
             right = s[y[i]]
             s[y[i]] = -9
             rival = int(np.argmax(s))
             if right - s[rival] < MARGIN:
-                q[y[i]] += RATE * x[i]
-                q[rival] -= RATE * x[i]
+                q[y[i]] += RATE * v
+                q[rival] -= RATE * v
                 wrong += 1
         q = unit(q)
         if not wrong:
@@ -224,7 +227,8 @@ def fit(samples: list[tuple[str, str]], labelled: list[tuple[str, str]], languag
     flat = [s for _, ss in parts for s in ss]
     if flat:
         extra = _sentence_vectors(flat, letters)
-        score, keep, label, at = extra @ q.T, [], [], 0
+        score = np.concatenate([extra[at : at + 1_024].astype(np.float32) @ q.T for at in range(0, len(extra), 1_024)])
+        keep, label, at = [], [], 0
         for k, ss in parts:
             block = score[at : at + len(ss)]
             rivals = np.delete(block, k, axis=1)
@@ -233,12 +237,16 @@ def fit(samples: list[tuple[str, str]], labelled: list[tuple[str, str]], languag
                 keep += (at + good).tolist()
                 label += [k] * len(good)
             at += len(ss)
-        q = _retrain(np.vstack([x, extra[keep]]), np.concatenate([y, np.array(label, dtype=int)]), len(languages))
+        extra = np.concatenate([x, extra[keep]])
+        q = _retrain(extra, np.concatenate([y, np.array(label, dtype=int)]), len(languages))
+        del extra
     a = np.roll(letters, 3, axis=1)[:, None, :].astype(np.float32) * np.roll(letters, 2, axis=1)[None]
     b = np.roll(letters, 1, axis=1)[:, None, :].astype(np.float32) * letters[None]
     a, b = a.reshape(LETTERS**2, dimension), b.reshape(LETTERS**2, dimension)
-    table = np.stack([(a * v) @ b.T for v in q], axis=-1).reshape(-1, len(languages)) / np.sqrt(dimension)
-    return Profiles(np.ascontiguousarray(table, dtype=np.float32), languages)
+    table = np.empty((LETTERS**GRAM, len(languages)), np.float32)
+    for k, v in enumerate(q):
+        table[:, k] = ((a * v) @ b.T).ravel() / np.sqrt(dimension)
+    return Profiles(table, languages)
 
 
 def _stretch(diff: np.ndarray, runs: np.ndarray) -> tuple[float, int, int]:
