@@ -1,18 +1,21 @@
-"""Same or near-same records across splits, by winnowed fingerprints.
+"""Same or near-same records across splits, by an exact prefix-filter join.
 
 Records with the same sequence of words form one class, so a text that fills a third of the table is one row from then
-on. Of every class, hashes of GRAM consecutive words are taken and the minimum of every WINDOW consecutive ones is kept:
-two classes that share GRAM + WINDOW - 1 consecutive words share a fingerprint, for certain. Fingerprints are joined
-between classes of training records and classes of evaluation records only, and only where the sizes of the word sets
-allow the wanted similarity. The shared fingerprints of a pair are chained to collinear seeds, extended word by word,
-and give the coverage of either record; the pair is kept if the exact similarity of the word sets suffices.
-Pairs of rows are formed last, from pairs of classes and their members.
+on. The words of a class are put into one order for all classes, rare ones first. Two sets of the wanted similarity s
+share a word among the first n - ceil(s n) + 1 of either, whatever the order of the words in the texts and wherever they
+differ, so joining classes of training records and of evaluation records on these words misses no pair. Within the join a
+pair must have sizes that allow the similarity and parity sketches that differ in no more bits than the sets may differ
+in words (the sketches of two sets never differ in more bits than the sets do in words); the exact similarity of the
+word sets decides. The winnowed fingerprints that a kept pair shares are chained to collinear seeds, extended word by
+word, and give the coverage of either record. Pairs of rows are formed last, from pairs of classes and their members.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,10 @@ MIN_WORDS = 25
 SIMILARITY = 0.75
 TRAIN = ("train",)
 EVALUATION = ("valid", "test")
+#: The commonest words, whose order is by frequency; all rarer ones come before them, by hash. Bounds the broadcast only.
+RANKED_WORDS = 20_000
+SKETCH_LONGS = 4
+WORD_SEED = 42  # that of Spark's xxhash64
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -125,38 +132,64 @@ def word_classes(
     return rows.select("row_id", "cls", "is_train"), cut_lineage(classes)
 
 
+def rare_prefix(words: set[str], similarity: float, ranks: dict[int, int]) -> tuple[list[int], list[int]]:
+    """(hashes of the rarest words, of which a set of the similarity shares one; parity sketch of all words)."""
+    codes = sorted((signed_hash(w) for w in words), key=lambda h: (ranks.get(h, -1), h))
+    sketch = 0
+    for h in codes:
+        sketch ^= 1 << ((h >> 20) % (64 * SKETCH_LONGS))
+    longs = np.frombuffer(sketch.to_bytes(8 * SKETCH_LONGS, "little"), dtype=np.int64).tolist()
+    return codes[: len(codes) - ceil(similarity * len(codes) - 1e-9) + 1], longs
+
+
+def signed_hash(word: str) -> int:
+    h = xxhash.xxh64_intdigest(word, seed=WORD_SEED)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def shared_seeds(x: list[str], y: list[str], gram: int, window: int) -> list[tuple[int, int]]:
+    """Places of the fingerprints in both; where there are none, the first places of the common words."""
+    places = defaultdict(list)
+    for h, at in winnow(y, gram, window):
+        places[h].append(at)
+    seeds = [(at, other) for h, at in winnow(x, gram, window) for other in places.get(h, ())]
+    if seeds:
+        return seeds
+    first = {w: k for k, w in reversed(list(enumerate(y)))}
+    return [(k, first[w]) for w, k in {w: k for k, w in reversed(list(enumerate(x)))}.items() if w in first]
+
+
 def class_links(classes: DataFrame, similarity: float, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """lo, hi, jaccard, cover_lo, cover_hi: different classes, one with training and one with evaluation records."""
+    common = (
+        classes.select(F.explode(F.array_distinct(F.split("words", " "))).alias("w")).groupBy(F.xxhash64("w").alias("h"))
+        .agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "h").limit(RANKED_WORDS).collect()
+    )
+    shared = classes.sparkSession.sparkContext.broadcast({r.h: r.n for r in common})
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
-            for cls, words, n, train, evaluation in zip(*(c.to_pylist() for c in batch.columns)):
-                for h, at in winnow(words.split(" "), gram, window):
-                    for c, v in zip(cols, (h, cls, at, n, train, evaluation)):
-                        c.append(v)
-            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["fp", "cls", "at", "n", "t", "e"])
+            found = [rare_prefix(set(words.split(" ")), similarity, shared.value) for words in batch.column(1).to_pylist()]
+            kinds = (pa.list_(pa.int64()), pa.list_(pa.int64()))
+            columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]
+            kept = [batch.column(k) for k in (0, 2, 3, 4)]
+            yield pa.RecordBatch.from_arrays(kept + columns, names=["cls", "n", "t", "e", "prefix", "sketch"])
 
-    fps = cut_lineage(
+    sets = cut_lineage(
         classes.select("cls", "words", "n", "has_train", "has_eval").mapInArrow(
-            prints, "fp bigint, cls binary, at int, n int, t boolean, e boolean"
+            prints, "cls binary, n int, t boolean, e boolean, prefix array<bigint>, sketch array<bigint>"
         )
     )
-    a = fps.where("t").select("fp", F.col("cls").alias("a"), F.col("at").alias("at_a"), F.col("n").alias("n_a"))
-    b = fps.where("e").select("fp", F.col("cls").alias("b"), F.col("at").alias("at_b"), F.col("n").alias("n_b"))
+
+    def side(flag: str, name: str) -> DataFrame:
+        longs = [F.col("sketch")[k].alias(f"s{k}_{name}") for k in range(SKETCH_LONGS)]
+        return sets.where(flag).select(F.explode("prefix").alias("word"), F.col("cls").alias(name), F.col("n").alias(f"n_{name}"), *longs)
+
     sizes = (F.col("n_a") >= similarity * F.col("n_b")) & (F.col("n_b") >= similarity * F.col("n_a"))
-    seeds = a.join(b, "fp").where((F.col("a") != F.col("b")) & sizes)
-    forward = F.col("a") < F.col("b")
-    pairs = (
-        seeds.select(
-            F.least("a", "b").alias("lo"),
-            F.greatest("a", "b").alias("hi"),
-            F.struct(F.when(forward, F.col("at_a")).otherwise(F.col("at_b")).alias("x"), F.when(forward, F.col("at_b")).otherwise(F.col("at_a")).alias("y")).alias("s"),
-        )
-        .groupBy("lo", "hi")
-        .agg(F.collect_set("s").alias("seeds"))  # at most the fingerprints of one record
-    )
+    differing = sum((F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(1, SKETCH_LONGS)), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
+    near = differing <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-6
+    candidates = side("t", "a").join(side("e", "b"), "word").where(sizes & near & (F.col("a") != F.col("b")))
+    pairs = candidates.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
     text = classes.select("cls", "words")
     full = pairs.join(text.select(F.col("cls").alias("lo"), F.col("words").alias("w_lo")), "lo").join(
         text.select(F.col("cls").alias("hi"), F.col("words").alias("w_hi")), "hi"
@@ -165,19 +198,19 @@ def class_links(classes: DataFrame, similarity: float, gram: int = GRAM, window:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list] = [[], [], [], [], []]
-            for lo, hi, seeds, w_lo, w_hi in zip(*(c.to_pylist() for c in batch.columns)):
+            for lo, hi, w_lo, w_hi in zip(*(c.to_pylist() for c in batch.columns)):
                 x, y = w_lo.split(" "), w_hi.split(" ")
                 sx, sy = set(x), set(y)
                 shared = len(sx & sy)
                 jaccard = shared / (len(sx) + len(sy) - shared)
                 if jaccard >= similarity:
-                    n = aligned(x, y, [(s["x"], s["y"]) for s in seeds], gram)
+                    n = aligned(x, y, shared_seeds(x, y, gram, window), gram)
                     for c, v in zip(cols, (lo, hi, jaccard, n / len(x), n / len(y))):
                         c.append(v)
             kinds = (pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["lo", "hi", "jaccard", "cover_lo", "cover_hi"])
 
-    return full.select("lo", "hi", "seeds", "w_lo", "w_hi").mapInArrow(
+    return full.select("lo", "hi", "w_lo", "w_hi").mapInArrow(
         verify, "lo binary, hi binary, jaccard double, cover_lo double, cover_hi double"
     )
 
@@ -195,8 +228,8 @@ def split_overlaps(
     window: int = WINDOW,
 ) -> DataFrame:
     """train_id, eval_id, jaccard, train_cover, eval_cover: every pair of a training and an evaluation record of at least
-    min_words distinct words each whose word sets have the similarity, found as a pair of the same class or by a run of
-    gram + window - 1 shared consecutive words. Covers are the shares of either record's words that align.
+    min_words distinct words each whose word sets have the similarity, whatever the order of their words. Covers are the
+    shares of either record's words that align in order, from winnowed fingerprints (gram, window) where they share any.
 
     Null texts, other or null splits and short records are in no pair. Repeated rows are paired each. An empty table, or
     one with one side only, gives no rows. Columns other than the three are ignored.

@@ -38,6 +38,23 @@ def test_pairs(spark):
     assert {r.split: r.n_overlapping for r in report} == {s: len({b for _, b in expected if rows[b][2] == s}) for s in ("valid", "test")}
 
 
+def test_pairs_without_a_shared_run(spark):
+    r = random.Random(5)
+    rows = []
+    for k in range(12):
+        base = r.sample(VOCABULARY, 36)
+        spread = [VOCABULARY[(VOCABULARY.index(w) + 1) % 3_000] if i % 9 == 4 else w for i, w in enumerate(base)]
+        sentences = [base[i : i + 9] for i in range(0, 36, 9)]
+        moved = [w for s in (sentences[2], sentences[0], sentences[3], sentences[1]) for w in s]
+        rows += [(10 * k + j, " ".join(t), s) for j, (t, s) in enumerate(((base, "train"), (spread, "test"), (moved, "valid"), (base[::-1], "test")))]
+    df = spark.createDataFrame(rows, "id bigint, t string, split string")
+    got = crosssplit.split_overlaps(df, "id", "t", "split").collect()
+    sets = {i: set(t.split()) for i, t, _ in rows}
+    expected = {(a[0], b[0]) for a in rows if a[2] == "train" for b in rows if b[2] != "train" and len(sets[a[0]] & sets[b[0]]) >= 0.75 * len(sets[a[0]] | sets[b[0]])}
+    assert len(expected) == 36 and {(x.train_id, x.eval_id) for x in got} == expected
+    assert all(x.train_cover > 0 for x in got)
+
+
 def test_copies_in_a_hot_class(spark):
     text = " ".join(VOCABULARY[:30])
     df = spark.createDataFrame([(i, text, "train" if i % 2 else "test") for i in range(40)], "id bigint, t string, split string")
