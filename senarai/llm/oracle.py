@@ -66,6 +66,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": _union(_p2(*labelled), _p2(*documents)),
         "p2_scores": _p2_scores(*labelled),
+        "p2_all_scores": _union(*(f"SELECT '{t[0]}' AS src, * FROM ({_p2_scores(*t)})" for t in (labelled, documents))),
         "p3_found": _union(*(_p3(*f) for f in forms)),
         "p3_copies": _union(*(_p3_copies(*f) for f in forms)),
         "p7_found": f"SELECT src, term, mark FROM ({marked}) WHERE mark IS NOT NULL",
