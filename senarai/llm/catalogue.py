@@ -36,7 +36,13 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_redacted(spark: SparkSession, folder: str) -> DataFrame:
-    return pii.redacted(table(spark, folder, "raw_reviews"), "row_id", "ulasan", _names(spark, folder))
+    names = _names(spark, folder)
+    return _by_source(
+        {
+            "raw_reviews": pii.redacted(table(spark, folder, "raw_reviews"), "row_id", "ulasan", names),
+            "labelled": pii.redacted(table(spark, folder, "labelled"), "row_id", "raw", names),
+        }
+    )
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

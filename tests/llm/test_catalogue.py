@@ -15,3 +15,12 @@ def test_scores_of_both_tables(spark, tmp_path):
         ("labelled", 1, "bagus"): (2, 1), ("labelled", 1, "sekali"): (1, 2), ("labelled", 2, "sekali"): (1, 2),
         ("documents", 1, "panjang"): (1_000, 1), ("documents", 1, "sekali"): (1, 2), ("documents", 2, "sekali"): (1, 2),
     }
+
+
+def test_both_tables_are_redacted(spark, tmp_path):
+    _write(spark, tmp_path, "name_list", [("Budi",)], "person_name string")
+    _write(spark, tmp_path, "raw_reviews", [(1, "kirim ke a@b.id"), (2, None)], "row_id bigint, ulasan string")
+    _write(spark, tmp_path, "labelled", [(1, "kirim ke c@d.id"), (2, "bagus")], "row_id bigint, raw string")
+    got = {(r.src, r.row_id): (r.text, r.n_spans) for r in catalogue.p1_redacted(spark, str(tmp_path)).collect()}
+    sent = ("kirim ke [EMAIL]", 1)
+    assert got == {("raw_reviews", 1): sent, ("raw_reviews", 2): (None, 0), ("labelled", 1): sent, ("labelled", 2): ("bagus", 0)}
