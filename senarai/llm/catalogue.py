@@ -102,7 +102,13 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_segments(spark: SparkSession, folder: str) -> DataFrame:
-    return langid.language_segments(table(spark, folder, "documents"), "doc_id", "text", _profiles(spark, folder))
+    profiles = _profiles(spark, folder)
+    return _by_source(
+        {
+            "raw_reviews": langid.language_segments(table(spark, folder, "raw_reviews"), "row_id", "ulasan", profiles),
+            "documents": langid.language_segments(table(spark, folder, "documents"), "doc_id", "text", profiles),
+        }
+    )
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -89,6 +89,7 @@ class Split:
     end: np.ndarray
     run_word: np.ndarray  # word of each run, counted over the batch
     capital: np.ndarray  # whether each word begins with a capital
+    word_begin: np.ndarray  # first character of each word in its text
 
 
 def split_batch(texts: list[str]) -> Split:
@@ -126,11 +127,12 @@ def split_batch(texts: list[str]) -> Split:
     blank = c == 0
     keep2 = np.ones(len(c), dtype=bool)
     keep2[1:] = ~(blank[1:] & blank[:-1] & (s[1:] == s[:-1]))
-    c, s, up = c[keep2].astype(np.int64), s[keep2], up[keep2]
+    c, s, up, place = c[keep2].astype(np.int64), s[keep2], up[keep2], np.flatnonzero(keep)[keep2]
     new_word = np.zeros(len(c), dtype=bool)
     new_word[1:] = (c[1:] > 0) & ((c[:-1] == 0) | (s[1:] != s[:-1]))
     word_no = np.cumsum(new_word)
     capital, owner = up[new_word], s[new_word]
+    word_begin = place[new_word] - offsets[text_of[place[new_word]]] - 1
     words = np.bincount(owner, minlength=n)
     shouted = np.bincount(owner[capital], minlength=n) > SHOUTED * words
     opening = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, bool)
@@ -140,14 +142,14 @@ def split_batch(texts: list[str]) -> Split:
     m = len(c) - GRAM + 1
     if m <= 0:
         empty = np.zeros(0, np.int64)
-        return Split(empty, empty, empty, text, letters, hans, words, begin, end, empty, capital)
+        return Split(empty, empty, empty, text, letters, hans, words, begin, end, empty, capital, word_begin)
     runs = c[:m].copy()
     for k in range(1, GRAM):
         runs = runs * LETTERS + c[k : k + m]
     inside = (s[:m] == s[GRAM - 1 :]) & ~named[word_no[1 : m + 1]] & ~named[word_no[GRAM - 1 :]]
     runs, owner = runs[inside], s[:m][inside]
     starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
-    return Split(runs, starts, owner[starts], text, letters, hans, words, begin, end, word_no[1 : m + 1][inside], capital)
+    return Split(runs, starts, owner[starts], text, letters, hans, words, begin, end, word_no[1 : m + 1][inside], capital, word_begin)
 
 
 class Profiles:
@@ -259,8 +261,13 @@ def _stretch(diff: np.ndarray, runs: np.ndarray) -> tuple[float, int, int]:
     return (float(sums[j] - sums[i]) / np.sqrt(m) if m else 0.0), i, j
 
 
-def sentence_languages(profiles: Profiles, texts: list[str]) -> tuple[Split, np.ndarray, np.ndarray, np.ndarray, list[set[int]]]:
-    """(sentences, language of each or -1, its margin, main language of each text or -1, languages of each text)."""
+def sentence_languages(
+    profiles: Profiles, texts: list[str], cuts: dict[int, list[tuple[int, int, int, float, float]]] | None = None
+) -> tuple[Split, np.ndarray, np.ndarray, np.ndarray, list[set[int]]]:
+    """(sentences, language of each or -1, its margin, main language of each text or -1, languages of each text).
+
+    In cuts, where given, every sentence that holds a stretch of another language gets its pieces, in order and without
+    gaps: (begin, end, language, margin, letters)."""
     split = split_batch(texts)
     total, count = profiles.scores(split)
     cosine = total / np.sqrt(np.maximum(count, 1))[:, None]
@@ -291,7 +298,9 @@ def sentence_languages(profiles: Profiles, texts: list[str]) -> tuple[Split, np.
         sets[split.text[k]].add(int(best[k]))
     unclear = (split.words >= CUT_LONG) & (margin < CLEAR_MARGIN) | (split.words >= LONG_WORDS)
     for k in _uneven(profiles, split, np.flatnonzero(unclear & (count > 0)), language):
-        _search_inside(profiles, split, int(k), sets[split.text[k]], int(language[k]))
+        pieces = _search_inside(profiles, split, int(k), sets[split.text[k]], int(language[k]), cuts is not None)
+        if pieces:
+            cuts[int(k)] = pieces
     return split, language, np.where(foreign, over_main, margin), main, sets
 
 
@@ -322,8 +331,11 @@ def _uneven(profiles: Profiles, split: Split, sentences: np.ndarray, language: n
     return sentences[long | (gain >= LEAST_GAIN)]
 
 
-def _search_inside(profiles: Profiles, split: Split, sentence: int, found: set[int], own: int) -> None:
-    """Adds the language of a stretch inside a long sentence that isn't in the sentence's own language."""
+def _search_inside(
+    profiles: Profiles, split: Split, sentence: int, found: set[int], own: int, pieces: bool = False
+) -> list[tuple[int, int, int, float, float]]:
+    """Adds the language of a stretch inside a long sentence that isn't in the sentence's own language. With pieces, also
+    looks for languages that the text has elsewhere, and returns the pieces into which the stretches cut the sentence."""
     at = int(np.searchsorted(split.sentence, sentence))
     lo = int(split.starts[at])
     hi = int(split.starts[at + 1]) if at + 1 < len(split.starts) else len(split.runs)
@@ -339,8 +351,9 @@ def _search_inside(profiles: Profiles, split: Split, sentence: int, found: set[i
     sums = np.cumsum(over, axis=0)
     before = np.minimum.accumulate(np.vstack([np.zeros((1, sums.shape[1])), sums[:-1]]), axis=0)
     best_gain = (sums - before).max(axis=0)
+    stretches = []
     for k in np.flatnonzero(best_gain >= LEAST_GAIN).tolist():
-        if k == own or k in found:
+        if k == own or k in found and not pieces:
             continue
         diff = values[:, k] - values[:, own]
         if telling and cap[1:].any():
@@ -351,10 +364,33 @@ def _search_inside(profiles: Profiles, split: Split, sentence: int, found: set[i
             i, j = ends[i], ends[j]
             if CUT_WORDS <= j - i and (len(diff) - (j - i) >= CUT_WORDS) and strength >= CUT_MARGIN and values[i:j].sum(axis=0).argmax() == k:
                 found.add(k)
+                stretches.append((strength, int(i), int(j), k))
                 continue
         strength, i, j = _stretch(diff, runs)
         if len(diff) >= LONG_WORDS and j - i >= STRETCH_WORDS and strength >= STRETCH_MARGIN and values[i:j].sum(axis=0).argmax() == k:
             found.add(k)
+            stretches.append((strength, i, j, k))
+    return _pieces(split, sentence, number, values, runs, stretches, own) if pieces and stretches else []
+
+
+def _pieces(
+    split: Split, sentence: int, number: np.ndarray, values: np.ndarray, runs: np.ndarray, stretches: list[tuple[float, int, int, int]], own: int
+) -> list[tuple[int, int, int, float, float]]:
+    """The sentence cut at its stretches (margin, first word, word after the last, language), the clearest on top; a
+    capitalised word that was left out just before a piece opens it."""
+    language = np.full(len(number), own)
+    for _, i, j, k in sorted(stretches):
+        language[i:j] = k
+    firsts = np.concatenate([[0], np.flatnonzero(language[1:] != language[:-1]) + 1, [len(number)]])
+    opens = [int(split.word_begin[number[i] - (2 if number[i] - number[i - 1] > 1 else 1)]) for i in firsts[1:-1]]
+    bounds = [int(split.begin[sentence]), *opens, int(split.end[sentence])]
+    out = []
+    for n, (i, j) in enumerate(zip(firsts[:-1].tolist(), firsts[1:].tolist())):
+        k, total, size = int(language[i]), values[i:j].sum(axis=0), int(runs[i:j].sum())
+        rival = np.delete(total, k).max() if k == own else total[own]
+        margin = float(total[k] - rival) / np.sqrt(max(size, 1))
+        out.append((bounds[n], bounds[n + 1], k, margin, float(split.letters[sentence]) * size / runs.sum()))
+    return out
 
 
 def clean_label(label: Column) -> Column:
@@ -426,7 +462,8 @@ def text_languages(df: DataFrame, key: str, text: str, profiles: Profiles, *keep
 
 
 def language_segments(df: DataFrame, key: str, text: str, profiles: Profiles) -> DataFrame:
-    """row_id, start INT, end INT, lang, confidence: the stretches of consecutive sentences of one language."""
+    """row_id, start INT, end INT, lang, confidence: the stretches of one language, of consecutive sentences or parts of
+    one; a sentence that holds a stretch of another language is cut there."""
     shared = df.sparkSession.sparkContext.broadcast((profiles.table, profiles.languages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -434,9 +471,11 @@ def language_segments(df: DataFrame, key: str, text: str, profiles: Profiles) ->
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), []
             for at, part in _chunks(batch.column(1).to_pylist()):
-                split, language, margin, _, _ = sentence_languages(model, part)
+                cuts: dict[int, list[tuple[int, int, int, float, float]]] = {}
+                split, language, margin, _, _ = sentence_languages(model, part, cuts)
                 last = (-1, -1)
-                for t, k, b, e, m, n in zip(split.text.tolist(), language.tolist(), split.begin.tolist(), split.end.tolist(), margin.tolist(), split.letters.tolist()):
+                whole = zip(split.begin.tolist(), split.end.tolist(), language.tolist(), margin.tolist(), split.letters.tolist())
+                for t, (b, e, k, m, n) in ((t, p) for i, (t, w) in enumerate(zip(split.text.tolist(), whole)) for p in cuts.get(i, (w,))):
                     if k < 0:
                         if last[0] == t:
                             out[-1][2] = e

@@ -2,6 +2,8 @@
 
 from senarai.llm import catalogue
 
+from test_models import _profiles
+
 
 def _write(spark, folder, name, rows, schema):
     spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
@@ -24,3 +26,17 @@ def test_both_tables_are_redacted(spark, tmp_path):
     got = {(r.src, r.row_id): (r.text, r.n_spans) for r in catalogue.p1_redacted(spark, str(tmp_path)).collect()}
     sent = ("kirim ke [EMAIL]", 1)
     assert got == {("raw_reviews", 1): sent, ("raw_reviews", 2): (None, 0), ("labelled", 1): sent, ("labelled", 2): ("bagus", 0)}
+
+
+def test_segments_of_both_tables_and_inside_sentences(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalogue, "_profiles", lambda *_: _profiles())
+    halves = "petugas sangat membantu keluarga kami setiap hari ", "The service was much faster than expected by all"
+    run_on = "".join(halves)
+    _write(spark, tmp_path, "raw_reviews", [(1, run_on, None)], "row_id bigint, ulasan string, lang string")
+    _write(spark, tmp_path, "documents", [(1, halves[1] + ". " + run_on, None)], "doc_id bigint, text string, lang string")
+    rows = catalogue.p4_segments(spark, str(tmp_path)).orderBy("src", "start").collect()
+    texts = {"raw_reviews": run_on, "documents": halves[1] + ". " + run_on}
+    got = [(r.src, r.lang, texts[r.src][r.start : r.end].strip()) for r in rows]
+    pair = [("id", halves[0].strip()), ("en", halves[1])]
+    assert got == [("documents", "en", halves[1] + "."), *(("documents", *p) for p in pair), *(("raw_reviews", *p) for p in pair)]
+    assert all(r.confidence > 0.5 for r in rows)
