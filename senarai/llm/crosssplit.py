@@ -1,19 +1,21 @@
-"""Same or near-same records across splits, by an exact prefix-filter join.
+"""Same or near-same records across splits, by winnowed fingerprints with an exact completion.
 
 Records with the same sequence of words form one class, so a text that fills a third of the table is one row from then
-on. The words of a class are put into one order for all classes, rare ones first. Two sets of the wanted similarity s
-share a word among the first n - ceil(s n) + 1 of either, whatever the order of the words in the texts and wherever they
-differ, so joining classes of training records and of evaluation records on these words misses no pair. Within the join a
-pair must have sizes that allow the similarity and parity sketches that differ in no more bits than the sets may differ
-in words (the sketches of two sets never differ in more bits than the sets do in words); the exact similarity of the
-word sets decides. The winnowed fingerprints that a kept pair shares are chained to collinear seeds, extended word by
-word, and give the coverage of either record. Pairs of rows are formed last, from pairs of classes and their members.
+on. Every class gives two kinds of keys. Its winnowed fingerprints, rolling-hash minima over windows, meet wherever two
+texts share a run of words. Its rarest words complete them: two sets of the wanted similarity s share a word among the
+first n - ceil(2 s / (1 + s) n) + 1 of the smaller and the first n - ceil(s n) + 1 of the larger set, in one order of
+words for all classes, whatever the order in the texts and wherever they differ, so no pair is missed. One join of
+training with evaluation classes on both kinds of keys proposes pairs; a pair must have sizes that allow the similarity
+and parity sketches that differ in no more bits than the sets may differ in words (the sketches of two sets never differ
+in more bits than the sets do in words). Keys that many classes hold are split into salted parts. The seeds of a
+proposed pair, the places of the fingerprints in both texts, are chained to collinear ones and extended word by word,
+which gives the coverage of either record; the exact similarity of the word sets decides.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from math import ceil
 
@@ -23,42 +25,63 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.heavy import salted_join
 from ..session import cut_lineage
 from .words import words_of
 
-GRAM = 10
-WINDOW = 2
+#: Words of a fingerprint, and fingerprints of a window: a shared run of GRAM + WINDOW - 1 words is certain to be found.
+GRAM = 6
+WINDOW = 6
 MIN_WORDS = 25
 SIMILARITY = 0.75
 TRAIN = ("train",)
 EVALUATION = ("valid", "test")
 #: The commonest words, whose order is by frequency; all rarer ones come before them, by hash. Bounds the broadcast only.
 RANKED_WORDS = 20_000
-SKETCH_LONGS = 4
-WORD_SEED = 42  # that of Spark's xxhash64
+#: Records that hold a word, or rows of a class, beyond which its keys or members are split into parts.
+SPLIT_ROWS = 20_000
+#: Rows whose texts are fetched through a broadcast list of ids, checked by a count; beyond, by a shuffle.
+BROADCAST_IDS = 200_000
+#: Words a worker remembers the order of before it starts anew.
+CACHED_WORDS = 500_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def winnow(words: list[str], gram: int = GRAM, window: int = WINDOW) -> list[tuple[int, int]]:
-    """(fingerprint, position) of the minimal rolling hash of every window, the rightmost of equal ones, each once."""
-    if len(words) < gram:
-        return []
-    codes = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
-    n = len(words) - gram + 1
-    rolled = np.zeros(n, dtype=np.uint64)
+def _winnow_flat(codes: np.ndarray, lengths: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprint, record, position in it) of the minimal rolling hash of every window of records laid end to end, the
+    rightmost of equal ones, each place once; a record with fewer hashes than a window has the smallest of them."""
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+    grams = np.maximum(lengths - gram + 1, 0)
+    total = int(lengths.sum())
+    if total < gram:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rolled = np.zeros(total - gram + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for k in range(gram):
-            rolled = rolled * _BASE + codes[k : k + n]
+            rolled = rolled * _BASE + codes[k : k + len(rolled)]
         rolled ^= rolled >> np.uint64(31)
         rolled *= np.uint64(0xBF58476D1CE4E5B9)
-    if n <= window:
-        kept = {n - 1 - int(np.argmin(rolled[::-1]))}
-    else:
-        views = np.lib.stride_tricks.sliding_window_view(rolled, window)[:, ::-1]
-        kept = set((np.arange(len(views)) + window - 1 - views.argmin(axis=1)).tolist())
-    signed = rolled.view(np.int64)
-    return [(int(signed[k]), k) for k in sorted(kept)]
+    kept = np.zeros(len(rolled), dtype=bool)
+    long = np.flatnonzero(grams > window)
+    if len(long):
+        counts = grams[long] - window + 1
+        first = np.repeat(starts[long] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+        views = np.lib.stride_tricks.sliding_window_view(rolled, window)[first][:, ::-1]
+        kept[first + window - 1 - views.argmin(axis=1)] = True
+    for r in np.flatnonzero((grams > 0) & (grams <= window)):
+        at, n = int(starts[r]), int(grams[r])
+        kept[at + n - 1 - int(np.argmin(rolled[at : at + n][::-1]))] = True
+    places = np.flatnonzero(kept)
+    record = np.searchsorted(starts + lengths, places, side="right")
+    return rolled[places].view(np.int64), record, places - starts[record]
+
+
+def winnow(words: list[str], gram: int = GRAM, window: int = WINDOW) -> list[tuple[int, int]]:
+    """(fingerprint, position) of the minimal rolling hash of every window, the rightmost of equal ones, each once."""
+    codes = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
+    prints, _, places = _winnow_flat(codes, np.array([len(words)]), gram, window)
+    return list(zip(prints.tolist(), places.tolist()))
 
 
 def chain(seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -103,116 +126,211 @@ def aligned(a: list[str], b: list[str], seeds: list[tuple[int, int]], gram: int
     return total
 
 
-def word_classes(
-    df: DataFrame, key: str, text: str, split: str, min_words: int, train: tuple[str, ...], evaluation: tuple[str, ...]
-) -> tuple[DataFrame, DataFrame]:
-    """(members: row_id, cls, is_train; classes: cls, text, n distinct words, has_train, has_eval)."""
+def _searched(df: DataFrame, key: str, text: str, split: str, splits: tuple[str, ...], *keep: str) -> DataFrame:
+    rows = df.where(F.col(text).isNotNull() & F.col(split).isin(*splits))
+    return rows.select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("text"), F.col(split).alias("split"), *keep)
 
-    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
-            for i, t, s in zip(*(c.to_pylist() for c in batch.columns)):
-                words = words_of(t)
-                distinct = len(set(words))
-                if distinct >= min_words:
-                    joined = " ".join(words)
-                    for c, v in zip(cols, (i, s, xxhash.xxh3_128_digest(joined), distinct, joined)):
-                        c.append(v)
-            kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["row_id", "is_train", "cls", "n", "words"])
-
-    rows = df.where(F.col(text).isNotNull() & F.col(split).isin(*train, *evaluation)).select(
-        F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("text"), F.col(split).isin(*train).alias("is_train")
-    )
-    rows = rows.mapInArrow(profile, "row_id bigint, is_train boolean, cls binary, n int, words string")
-    rows = cut_lineage(rows)
-    classes = rows.groupBy("cls").agg(
-        F.max("is_train").alias("has_train"), F.max(~F.col("is_train")).alias("has_eval"), F.max("n").alias("n"), F.max("words").alias("words")
-    )
-    return rows.select("row_id", "cls", "is_train"), cut_lineage(classes)
 
+def common_words(rows: DataFrame) -> dict[int, int]:
+    """hash -> number of records of the RANKED_WORDS words of the most records, counted over all records."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: Counter = Counter()
+            for t in batch.column(0).to_pylist():
+                counts.update(set(words_of(t)))
+            yield pa.RecordBatch.from_arrays([pa.array(map(signed_hash, counts), pa.int64()), pa.array(counts.values(), pa.int64())], names=["h", "n"])
 
-def rare_prefix(words: set[str], similarity: float, ranks: dict[int, int]) -> tuple[list[int], list[int]]:
-    """(hashes of the rarest words, of which a set of the similarity shares one; parity sketch of all words)."""
-    codes = sorted((signed_hash(w) for w in words), key=lambda h: (ranks.get(h, -1), h))
-    sketch = 0
-    for h in codes:
-        sketch ^= 1 << ((h >> 20) % (64 * SKETCH_LONGS))
-    longs = np.frombuffer(sketch.to_bytes(8 * SKETCH_LONGS, "little"), dtype=np.int64).tolist()
-    return codes[: len(codes) - ceil(similarity * len(codes) - 1e-9) + 1], longs
+    counted = rows.select("text").mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    return {r.h: r.n for r in counted.orderBy(F.desc("n"), "h").limit(RANKED_WORDS).collect()}
 
 
 def signed_hash(word: str) -> int:
-    h = xxhash.xxh64_intdigest(word, seed=WORD_SEED)
+    h = xxhash.xxh64_intdigest(word)
     return h - (1 << 64) if h >> 63 else h
 
 
+class _Words(dict):
+    """word -> its number in `hashes` and `counts` (records that hold it); remembers what it was asked."""
+
+    def __init__(self, counts: dict[int, int]):
+        self.known, self.hashes, self.counts = counts, [], []
+
+    def __missing__(self, word: str) -> int:
+        h = signed_hash(word)
+        self.hashes.append(h)
+        self.counts.append(self.known.get(h, 0))
+        self[word] = len(self.hashes) - 1
+        return len(self.hashes) - 1
+
+    def numbers(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, count) of every word."""
+        if len(self) > CACHED_WORDS:
+            self.clear()
+            self.hashes, self.counts = [], []
+        at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        return np.array(self.hashes, dtype=np.int64)[at], np.array(self.counts, dtype=np.int64)[at]
+
+
+def prefix_lengths(n: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """How many of the rarest of n words a partner of the similarity must meet: as the smaller set, as the larger one."""
+    needed = lambda share: n - np.ceil(share * n - 1e-9).astype(np.int64) + 1
+    return needed(2 * similarity / (1 + similarity)), needed(similarity)
+
+
+def _text_class(words: list[str]) -> bytes:
+    return xxhash.xxh3_128_digest(" ".join(words))
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, kind))
+
+
+def batch_keys(texts: list[str], words: _Words, similarity: float, min_words: int, gram: int, window: int) -> list[pa.Array]:
+    """For the texts of at least min_words distinct words: place in the batch, class, n distinct words, fingerprints and
+    their parts, rarest words and their parts, how many of these are keys of the smaller set, parity sketch."""
+    split = [words_of(t) for t in texts]
+    usable = [at for at, w in enumerate(split) if len(w) >= min_words and len(set(w)) >= min_words]
+    split = [split[at] for at in usable]
+    lengths = np.array([len(w) for w in split], dtype=np.int64)
+    hashes, counts = words.numbers([w for ws in split for w in ws])
+    record = np.repeat(np.arange(len(split)), lengths)
+    order = np.lexsort((hashes, counts, record))
+    r, h, c = record[order], hashes[order], counts[order]
+    once = np.ones(len(r), dtype=bool)
+    once[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
+    r, h, c = r[once], h[once], c[once]
+    n = np.bincount(r, minlength=len(split))
+    small, large = prefix_lengths(n, similarity)
+    rare = np.arange(len(r)) - np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)[r] < large[r]
+    bits = np.bincount(r * 128 + ((h >> 20) & 127), minlength=128 * len(split)).reshape(-1, 128) & 1
+    sketch = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64).reshape(-1, 2)
+    prints, owner, place = _winnow_flat(hashes.view(np.uint64), lengths, gram, window)
+    # at most as many records hold a run of words as hold the rarest of them
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+    least = np.lib.stride_tricks.sliding_window_view(counts, gram)[starts[owner] + place].min(axis=1) if len(prints) else prints
+    by = np.lexsort((prints, owner))
+    owner, prints, least = owner[by], prints[by], least[by]
+    single = np.ones(len(by), dtype=bool)
+    single[1:] = (owner[1:] != owner[:-1]) | (prints[1:] != prints[:-1])
+    owner, prints, least = owner[single], prints[single], least[single]
+    held, met = np.bincount(owner, minlength=len(split)), np.minimum(large, n)
+    return [
+        pa.array(usable, pa.int32()), pa.array([_text_class(w) for w in split], pa.binary()), pa.array(n, pa.int32()),
+        _lists(prints, held, pa.int64()), _lists(least // SPLIT_ROWS + 1, held, pa.int32()),
+        _lists(h[rare], met, pa.int64()), _lists(c[rare] // SPLIT_ROWS + 1, met, pa.int32()), pa.array(small, pa.int32()),
+        pa.array(sketch[:, 0], pa.int64()), pa.array(sketch[:, 1], pa.int64()),
+    ]
+
+
+KEYS = ("cls", "n", "prints", "print_parts", "rare", "rare_parts", "small", "s0", "s1")
+
+
+def record_keys(rows: DataFrame, counts: dict[int, int], similarity: float, min_words: int, gram: int, window: int, *keep: str) -> DataFrame:
+    """row_id, split, keep and the KEYS of batch_keys of every record with enough words. One narrow stage."""
+    shared = rows.sparkSession.sparkContext.broadcast(counts)
+
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words(shared.value)
+        for batch in batches:
+            at, *columns = batch_keys(batch.column(1).to_pylist(), words, similarity, min_words, gram, window)
+            kept = [batch.column(k).take(at) for k in (0, *range(2, batch.num_columns))]
+            yield pa.RecordBatch.from_arrays(kept + columns, names=["row_id", "split", *keep, *KEYS])
+
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    kept = "".join(f", `{c}` {types[c]}" for c in ("split", *keep))
+    return rows.select("row_id", "text", "split", *keep).mapInArrow(
+        profile,
+        f"row_id bigint{kept}, cls binary, n int, prints array<bigint>, print_parts array<int>, rare array<bigint>, rare_parts array<int>, small int, s0 bigint, s1 bigint",
+    )
+
+
+def candidates(records: DataFrame, similarity: float, train: tuple[str, ...]) -> DataFrame:
+    """a, b, distinct: first row ids of different classes, the one with training, the other with evaluation records, that
+    share a key and may reach the similarity by size and sketch."""
+    side = F.when(F.col("split").isin(*train), 1).otherwise(2)
+    classes = records.groupBy("cls").agg(
+        F.bit_or(side).alias("sides"), F.min("row_id").alias("id"), *[F.first(c).alias(c) for c in KEYS[1:]]
+    )
+    # a key's kind: 0 fingerprint, 1 rare word where training is the smaller set, 2 where it is the larger one
+    role = lambda kind, keys: F.transform(keys, lambda k: F.struct(k["w"].alias("w"), k["p"].alias("p"), F.lit(kind).alias("r")))
+    zipped = lambda keys, parts: F.transform(F.arrays_zip(keys, parts), lambda z: F.struct(z[keys].alias("w"), z[parts].alias("p")))
+    prints, rare = zipped("prints", "print_parts"), zipped("rare", "rare_parts")
+    few = F.slice(rare, 1, F.col("small"))
+
+    def keys(bit: int, name: str, small: int, large: int) -> DataFrame:
+        each = F.concat(role(0, prints), role(small, few), role(large, rare))
+        held = classes.where(F.col("sides").bitwiseAND(F.lit(bit)) > 0)
+        flat = held.select(F.explode(each).alias("k"), F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("n", "s0", "s1")])
+        salt = F.sequence(F.lit(0), F.col("k.p") - 1) if bit == 1 else F.array(F.pmod(F.xxhash64(name), F.col("k.p")).cast("int"))
+        return flat.select((F.col("k.w").bitwiseXOR(F.col("k.r").cast("bigint"))).alias("key"), F.explode(salt).alias("salt"), name, *[f"{c}_{name}" for c in ("n", "s0", "s1")])
+
+    sizes = (F.col("n_a") >= similarity * F.col("n_b") - 1e-9) & (F.col("n_b") >= similarity * F.col("n_a") - 1e-9)
+    differing = F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b")))
+    near = differing <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-6
+    pairs = keys(1, "a", 1, 2).join(keys(2, "b", 2, 1), ["key", "salt"]).where(sizes & near & (F.col("a") != F.col("b")))
+    return pairs.select("a", "b").distinct()
+
+
 def shared_seeds(x: list[str], y: list[str], gram: int, window: int) -> list[tuple[int, int]]:
-    """Places of the fingerprints in both; where there are none, the first places of the common words."""
+    """Places of the fingerprints in both, an equal fingerprint's n-th place in the one with its n-th in the other; where
+    there are none, the first places of the common words. At most one seed a fingerprint of x."""
     places = defaultdict(list)
     for h, at in winnow(y, gram, window):
         places[h].append(at)
-    seeds = [(at, other) for h, at in winnow(x, gram, window) for other in places.get(h, ())]
+    seeds, used = [], Counter()
+    for h, at in winnow(x, gram, window):
+        if used[h] < len(places.get(h, ())):
+            seeds.append((at, places[h][used[h]]))
+            used[h] += 1
     if seeds:
         return seeds
     first = {w: k for k, w in reversed(list(enumerate(y)))}
     return [(k, first[w]) for w, k in {w: k for k, w in reversed(list(enumerate(x)))}.items() if w in first]
 
 
-def class_links(classes: DataFrame, similarity: float, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """lo, hi, jaccard, cover_lo, cover_hi: different classes, one with training and one with evaluation records."""
-    common = (
-        classes.select(F.explode(F.array_distinct(F.split("words", " "))).alias("w")).groupBy(F.xxhash64("w").alias("h"))
-        .agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "h").limit(RANKED_WORDS).collect()
-    )
-    shared = classes.sparkSession.sparkContext.broadcast({r.h: r.n for r in common})
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [rare_prefix(set(words.split(" ")), similarity, shared.value) for words in batch.column(1).to_pylist()]
-            kinds = (pa.list_(pa.int64()), pa.list_(pa.int64()))
-            columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]
-            kept = [batch.column(k) for k in (0, 2, 3, 4)]
-            yield pa.RecordBatch.from_arrays(kept + columns, names=["cls", "n", "t", "e", "prefix", "sketch"])
-
-    sets = cut_lineage(
-        classes.select("cls", "words", "n", "has_train", "has_eval").mapInArrow(
-            prints, "cls binary, n int, t boolean, e boolean, prefix array<bigint>, sketch array<bigint>"
-        )
-    )
-
-    def side(flag: str, name: str) -> DataFrame:
-        longs = [F.col("sketch")[k].alias(f"s{k}_{name}") for k in range(SKETCH_LONGS)]
-        return sets.where(flag).select(F.explode("prefix").alias("word"), F.col("cls").alias(name), F.col("n").alias(f"n_{name}"), *longs)
-
-    sizes = (F.col("n_a") >= similarity * F.col("n_b")) & (F.col("n_b") >= similarity * F.col("n_a"))
-    differing = sum((F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(1, SKETCH_LONGS)), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
-    near = differing <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-6
-    candidates = side("t", "a").join(side("e", "b"), "word").where(sizes & near & (F.col("a") != F.col("b")))
-    pairs = candidates.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
-    text = classes.select("cls", "words")
-    full = pairs.join(text.select(F.col("cls").alias("lo"), F.col("words").alias("w_lo")), "lo").join(
-        text.select(F.col("cls").alias("hi"), F.col("words").alias("w_hi")), "hi"
-    )
+def class_links(rows: DataFrame, pairs: DataFrame, similarity: float, gram: int, window: int) -> DataFrame:
+    """a, b (classes), jaccard, train_cover, eval_cover of the candidate pairs of row ids whose texts have the similarity."""
+    pairs = cut_lineage(pairs)
+    ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct())
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    texts = rows.select("row_id", "text").join(F.broadcast(ids) if few else ids, "row_id", "left_semi")
+    texts = cut_lineage(texts)
+    full = pairs.join(texts.select(F.col("row_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("row_id").alias("b"), F.col("text").alias("y")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
-            for lo, hi, w_lo, w_hi in zip(*(c.to_pylist() for c in batch.columns)):
-                x, y = w_lo.split(" "), w_hi.split(" ")
+            out = []
+            for a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                x, y = words_of(a), words_of(b)
                 sx, sy = set(x), set(y)
                 shared = len(sx & sy)
-                jaccard = shared / (len(sx) + len(sy) - shared)
-                if jaccard >= similarity:
+                jaccard = shared / max(len(sx) + len(sy) - shared, 1)
+                if jaccard >= similarity and x != y:
                     n = aligned(x, y, shared_seeds(x, y, gram, window), gram)
-                    for c, v in zip(cols, (lo, hi, jaccard, n / len(x), n / len(y))):
-                        c.append(v)
+                    out.append((_text_class(x), _text_class(y), jaccard, n / len(x), n / len(y)))
             kinds = (pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["lo", "hi", "jaccard", "cover_lo", "cover_hi"])
-
-    return full.select("lo", "hi", "w_lo", "w_hi").mapInArrow(
-        verify, "lo binary, hi binary, jaccard double, cover_lo double, cover_hi double"
-    )
+            columns = [pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 5, kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "jaccard", "train_cover", "eval_cover"])
+
+    found = full.select("x", "y").mapInArrow(verify, "a binary, b binary, jaccard double, train_cover double, eval_cover double")
+    return cut_lineage(found.distinct())
+
+
+def overlap_classes(
+    df: DataFrame, key: str, text: str, split: str, keep: tuple[str, ...], min_words: int, similarity: float,
+    train: tuple[str, ...], evaluation: tuple[str, ...], gram: int, window: int,
+) -> tuple[DataFrame, DataFrame]:
+    """(members: row_id, split, keep, cls; links: a, b, jaccard, train_cover, eval_cover between their classes, a class
+    with records on both sides being linked with itself)."""
+    rows = _searched(df, key, text, split, (*train, *evaluation), *keep)
+    records = cut_lineage(record_keys(rows, common_words(rows), similarity, min_words, gram, window, *keep))
+    links = class_links(rows, candidates(records, similarity, train), similarity, gram, window)
+    side = F.col("split").isin(*train)
+    one = F.lit(1.0)
+    both = records.groupBy("cls").agg(F.max(side).alias("t"), F.max(~side).alias("e")).where("t AND e")
+    same = both.select(F.col("cls").alias("a"), F.col("cls").alias("b"), one.alias("jaccard"), one.alias("train_cover"), one.alias("eval_cover"))
+    return records.select("row_id", "split", *keep, "cls"), links.unionByName(same)
 
 
 def split_overlaps(
@@ -231,32 +349,35 @@ def split_overlaps(
     min_words distinct words each whose word sets have the similarity, whatever the order of their words. Covers are the
     shares of either record's words that align in order, from winnowed fingerprints (gram, window) where they share any.
 
-    Null texts, other or null splits and short records are in no pair. Repeated rows are paired each. An empty table, or
-    one with one side only, gives no rows. Columns other than the three are ignored.
+    Null texts, other or null splits and short records are in no pair. Repeated rows are paired each, as the result is
+    stated in pairs of rows; a class of many rows is joined in salted parts. An empty table, or one with one side only,
+    gives no rows. Columns other than the three are ignored.
     """
-    members, classes = word_classes(df, key, text, split, min_words, train, evaluation)
-    links = cut_lineage(class_links(classes, similarity, gram, window))
-    one = F.lit(1.0)
-    oriented = (
-        links.select(F.col("lo").alias("a"), F.col("hi").alias("b"), "jaccard", F.col("cover_lo").alias("train_cover"), F.col("cover_hi").alias("eval_cover"))
-        .unionByName(links.select(F.col("hi").alias("a"), F.col("lo").alias("b"), "jaccard", F.col("cover_hi").alias("train_cover"), F.col("cover_lo").alias("eval_cover")))
-        .unionByName(
-            classes.where("has_train AND has_eval").select(F.col("cls").alias("a"), F.col("cls").alias("b"), one.alias("jaccard"), one.alias("train_cover"), one.alias("eval_cover"))
-        )
-    )
-    a = members.where("is_train").select(F.col("cls").alias("a"), F.col("row_id").alias("train_id"))
-    b = members.where("NOT is_train").select(F.col("cls").alias("b"), F.col("row_id").alias("eval_id"))
-    return oriented.join(a, "a").join(b, "b").select("train_id", "eval_id", "jaccard", "train_cover", "eval_cover")
-
-
-def overlap_report(df: DataFrame, key: str, text: str, split: str, source: str, **settings) -> DataFrame:
+    members, links = overlap_classes(df, key, text, split, (), min_words, similarity, train, evaluation, gram, window)
+    links = cut_lineage(links)
+    side = lambda cond, cls, name: members.where(cond).select(F.col("cls").alias(cls), F.col("row_id").alias(name))
+    in_train = F.col("split").isin(*train)
+    out = salted_join(links, side(in_train, "a", "train_id"), "a", SPLIT_ROWS)
+    out = salted_join(out, side(~in_train, "b", "eval_id"), "b", SPLIT_ROWS)
+    return out.select("train_id", "eval_id", "jaccard", "train_cover", "eval_cover")
+
+
+def overlap_report(
+    df: DataFrame, key: str, text: str, split: str, source: str, min_words: int = MIN_WORDS, similarity: float = SIMILARITY,
+    train: tuple[str, ...] = TRAIN, evaluation: tuple[str, ...] = EVALUATION, gram: int = GRAM, window: int = WINDOW,
+) -> DataFrame:
     """split, source, n_records, n_overlapping, mean_cover: for each evaluation split and source, how many records occur
-    in the training split, exactly or almost, and the mean best coverage of those. A null source is a group of its own."""
-    evaluation = settings.get("evaluation", EVALUATION)
-    hits = split_overlaps(df, key, text, split, **settings).groupBy("eval_id").agg(F.max("eval_cover").alias("cover"))
-    rows = df.where(F.col(split).isin(*evaluation)).select(F.col(key).cast("bigint").alias("eval_id"), F.col(split).alias("split"), F.col(source).alias("source"))
-    return (
-        rows.join(hits, "eval_id", "left")
-        .groupBy("split", "source")
-        .agg(F.count(F.lit(1)).alias("n_records"), F.count("cover").alias("n_overlapping"), F.round(F.avg("cover"), 6).alias("mean_cover"))
-    )
+    in the training split, exactly or almost, and the mean best coverage of those. A null source is a group of its own.
+
+    Counted from classes and their numbers of rows by split and source: no pair of rows is ever formed."""
+    named = df.withColumn("__source", F.col(source))
+    members, links = overlap_classes(named, key, text, split, ("__source",), min_words, similarity, train, evaluation, gram, window)
+    best = links.groupBy("b").agg(F.max("eval_cover").alias("cover")).withColumnRenamed("b", "cls")
+    sizes = members.where(F.col("split").isin(*evaluation)).groupBy("cls", "split", F.col("__source").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    hits = sizes.join(best, "cls").groupBy("split", "source").agg(F.sum("n").alias("n_overlapping"), F.sum(F.col("n") * F.col("cover")).alias("covers"))
+    every = df.where(F.col(split).isin(*evaluation)).groupBy(F.col(split).alias("split"), F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("n_records"))
+    same = (every["split"] == hits["split"]) & every["source"].eqNullSafe(hits["source"])
+    return every.join(hits, same, "left").select(
+        every["split"], every["source"], "n_records", F.coalesce("n_overlapping", F.lit(0)).cast("bigint").alias("n_overlapping"),
+        F.round(F.col("covers") / F.col("n_overlapping"), 6).alias("mean_cover"),
+    )

@@ -55,6 +55,21 @@ def _p3_copies(src: str, text: str, labelled: bool) -> str:
     return f"""SELECT '{src}' AS src, min(row_id) AS keep_id, count(*) AS copies FROM ({_form_keys(src, text, labelled)}) GROUP BY k HAVING count(*) > 1"""
 
 
+def _p5() -> str:
+    words = """(SELECT DISTINCT row_id, split = 'train' AS t, unnest(list_transform(regexp_extract_all(raw, '[\\p{L}\\p{N}]+'), lambda x: lower(x))) AS w
+                FROM labelled WHERE raw IS NOT NULL AND split IN ('train', 'valid', 'test'))"""
+    return f"""WITH w AS MATERIALIZED {words}, n AS MATERIALIZED (SELECT row_id, t, count(*) AS n FROM w GROUP BY ALL HAVING count(*) >= 25),
+                    k AS MATERIALIZED (SELECT w.row_id, w.t, w.w, n.n FROM w JOIN n USING (row_id))
+               SELECT least(a.row_id, b.row_id) AS row_a, greatest(a.row_id, b.row_id) AS row_b FROM k a JOIN k b ON a.w = b.w AND a.t AND NOT b.t
+               GROUP BY a.row_id, b.row_id, a.n, b.n HAVING count(*) >= 0.75 * (a.n + b.n - count(*))"""
+
+
+def _p5_counts() -> str:
+    return f"""SELECT split, source, count(*) AS n_records, count(hit) AS n_overlapping
+               FROM labelled LEFT JOIN (SELECT DISTINCT unnest([row_a, row_b]) AS hit FROM ({_p5()})) ON hit = row_id
+               WHERE split IN ('valid', 'test') GROUP BY ALL"""
+
+
 def _union(*parts: str) -> str:
     return "\nUNION ALL\n".join(f"({p})" for p in parts)
 
@@ -69,6 +84,8 @@ def oracle_sql() -> dict[str, str]:
         "p2_all_scores": _union(*(f"SELECT '{t[0]}' AS src, * FROM ({_p2_scores(*t)})" for t in (labelled, documents))),
         "p3_found": _union(*(_p3(*f) for f in forms)),
         "p3_copies": _union(*(_p3_copies(*f) for f in forms)),
+        "p5_found": _p5(),
+        "p5_counts": _p5_counts(),
         "p7_found": f"SELECT src, term, mark FROM ({marked}) WHERE mark IS NOT NULL",
         "p7_terms": marked,
     }
