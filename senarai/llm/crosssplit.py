@@ -292,10 +292,9 @@ def shared_seeds(x: list[str], y: list[str], gram: int, window: int) -> list[tup
 def class_links(rows: DataFrame, pairs: DataFrame, similarity: float, gram: int, window: int) -> DataFrame:
     """a, b (classes), jaccard, train_cover, eval_cover of the candidate pairs of row ids whose texts have the similarity."""
     pairs = cut_lineage(pairs)
-    ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct())
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct()
+    few = pairs.limit(BROADCAST_IDS // 2 + 1).count() <= BROADCAST_IDS // 2  # a pair has two ids
     texts = rows.select("row_id", "text").join(F.broadcast(ids) if few else ids, "row_id", "left_semi")
-    texts = cut_lineage(texts)
     full = pairs.join(texts.select(F.col("row_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("row_id").alias("b"), F.col("text").alias("y")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +313,7 @@ def class_links(rows: DataFrame, pairs: DataFrame, similarity: float, gram: int,
             yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "jaccard", "train_cover", "eval_cover"])
 
     found = full.select("x", "y").mapInArrow(verify, "a binary, b binary, jaccard double, train_cover double, eval_cover double")
-    return cut_lineage(found.distinct())
+    return found.distinct()
 
 
 def overlap_classes(
@@ -325,12 +324,13 @@ def overlap_classes(
     with records on both sides being linked with itself)."""
     rows = _searched(df, key, text, split, (*train, *evaluation), *keep)
     records = cut_lineage(record_keys(rows, common_words(rows), similarity, min_words, gram, window, *keep))
+    members = cut_lineage(records.select("row_id", "split", *keep, "cls"))
     links = class_links(rows, candidates(records, similarity, train), similarity, gram, window)
     side = F.col("split").isin(*train)
     one = F.lit(1.0)
-    both = records.groupBy("cls").agg(F.max(side).alias("t"), F.max(~side).alias("e")).where("t AND e")
+    both = members.groupBy("cls").agg(F.max(side).alias("t"), F.max(~side).alias("e")).where("t AND e")
     same = both.select(F.col("cls").alias("a"), F.col("cls").alias("b"), one.alias("jaccard"), one.alias("train_cover"), one.alias("eval_cover"))
-    return records.select("row_id", "split", *keep, "cls"), links.unionByName(same)
+    return members, links.unionByName(same)
 
 
 def split_overlaps(
