@@ -14,7 +14,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,9 @@ DIMENSION = 2048
 SEED = 7
 #: Bounds of what the model is fitted on: known sentences, and labelled rows of the corpus chosen by a hash of their id.
 MAX_SAMPLES, SAMPLE_ROWS, LANGUAGE_ROWS, SAMPLE_CHARS = 5_000, 1_500, 300, 1_000
-MARGIN, RATE, EPOCHS = 0.06, 0.1, 10
+MARGIN, RATE, EPOCHS = 0.06, 0.1, 15
+#: The prototypes are the mean of those after each epoch from this one on, so that they don't hang on the last updates.
+FIRST_AVERAGED = 5
 #: A sentence counts as one of another language than the text's main one from these on.
 FOREIGN_MARGIN, FOREIGN_WORDS, FOREIGN_LETTERS = 0.06, 6, 15
 #: Shorter and very short sentences need these margins.
@@ -44,8 +46,8 @@ LONG_WORDS, STRETCH_WORDS, STRETCH_MARGIN = 20, 5, 0.18
 CUT_LONG, CUT_WORDS, CUT_MARGIN = 9, 4, 0.12
 #: A sentence clearer than this holds no such stretch, unless it is long.
 CLEAR_MARGIN = 0.25
-#: No stretch of CUT_WORDS words and CUT_MARGIN has a smaller sum than this (about 17 runs of letters).
-LEAST_GAIN, PADDED_WORDS = 0.5, 64
+#: No stretch of CUT_WORDS words and CUT_MARGIN has a smaller sum than this: words of one letter give two runs each.
+LEAST_GAIN, PADDED_WORDS = CUT_MARGIN * (2 * CUT_WORDS) ** 0.5 - 1e-9, 64
 #: Above this share of words with a capital, capitals mean nothing in a sentence; below, a later word with one is a name.
 SHOUTED = 0.5
 STEEPNESS = 40.0
@@ -122,6 +124,9 @@ def split_batch(texts: list[str]) -> Split:
     letter = (codes > 0) & (codes < _DROP)
     letters = np.bincount(sid[letter], minlength=n)
     hans = np.bincount(sid[codes == _HAN], minlength=n)
+    # a Latin letter after two equal ones is drawn out and tells no language
+    drawn = (codes[2:] == codes[1:-1]) & (codes[2:] == codes[:-2]) & (codes[2:] > 0) & (codes[2:] < _HAN)
+    codes[2:][drawn] = _DROP
     keep = codes < _DROP
     c, s, up = codes[keep], sid[keep], ((points >= 65) & (points <= 90))[keep]
     blank = c == 0
@@ -152,6 +157,10 @@ def split_batch(texts: list[str]) -> Split:
     return Split(runs, starts, owner[starts], text, letters, hans, words, begin, end, word_no[1 : m + 1][inside], capital, word_begin)
 
 
+#: Begin and end in the text, language, margin, letters.
+Piece = tuple[int, int, int, float, float]
+
+
 class Profiles:
     """Language prototypes as a table: row of a run of letters, column of a language, value of the product."""
 
@@ -197,6 +206,7 @@ def _sentence_vectors(sentences: list[str], letters: np.ndarray) -> np.ndarray:
 def _retrain(x: np.ndarray, y: np.ndarray, languages: int) -> np.ndarray:
     unit = lambda q: q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
     q = unit(np.array([x[y == k].sum(axis=0, dtype=np.float32) if (y == k).any() else np.zeros(x.shape[1], np.float32) for k in range(languages)]))
+    total = np.zeros_like(q)
     for epoch in range(EPOCHS):
         wrong = 0
         for i in np.random.default_rng(epoch).permutation(len(x)):
@@ -210,9 +220,11 @@ def _retrain(x: np.ndarray, y: np.ndarray, languages: int) -> np.ndarray:
                 q[rival] -= RATE * v
                 wrong += 1
         q = unit(q)
+        if epoch >= FIRST_AVERAGED:
+            total += q
         if not wrong:
             break
-    return q
+    return unit(total) if total.any() else q
 
 
 def fit(samples: list[tuple[str, str]], labelled: list[tuple[str, str]], languages: tuple[str, ...] = LANGUAGES, dimension: int = DIMENSION) -> Profiles:
@@ -261,13 +273,11 @@ def _stretch(diff: np.ndarray, runs: np.ndarray) -> tuple[float, int, int]:
     return (float(sums[j] - sums[i]) / np.sqrt(m) if m else 0.0), i, j
 
 
-def sentence_languages(
-    profiles: Profiles, texts: list[str], cuts: dict[int, list[tuple[int, int, int, float, float]]] | None = None
-) -> tuple[Split, np.ndarray, np.ndarray, np.ndarray, list[set[int]]]:
-    """(sentences, language of each or -1, its margin, main language of each text or -1, languages of each text).
+def sentence_languages(profiles: Profiles, texts: list[str]) -> tuple[Split, np.ndarray, np.ndarray, np.ndarray, list[set[int]], dict[int, list[Piece]]]:
+    """(sentences, language of each or -1, its margin, main language of each text or -1, languages of each text, pieces).
 
-    In cuts, where given, every sentence that holds a stretch of another language gets its pieces, in order and without
-    gaps: (begin, end, language, margin, letters)."""
+    pieces has, for every sentence that holds a stretch of another language, the parts into which the stretches cut it, in
+    order and without gaps. The languages of a text are those of its sentences and pieces."""
     split = split_batch(texts)
     total, count = profiles.scores(split)
     cosine = total / np.sqrt(np.maximum(count, 1))[:, None]
@@ -293,15 +303,15 @@ def sentence_languages(
     needed = np.where(split.words < SHORT_WORDS, FEW_MARGIN, np.where(split.words < FOREIGN_WORDS, SHORT_MARGIN, FOREIGN_MARGIN))
     foreign = solid & (own_main >= 0) & (best != own_main) & (over_main >= np.where(han, FOREIGN_MARGIN, needed))
     language = np.where(count > 0, np.where(foreign, best, own_main), -1)
-    sets: list[set[int]] = [set() if k < 0 else {int(k)} for k in main]
-    for k in np.flatnonzero(foreign):
-        sets[split.text[k]].add(int(best[k]))
     unclear = (split.words >= CUT_LONG) & (margin < CLEAR_MARGIN) | (split.words >= LONG_WORDS)
-    for k in _uneven(profiles, split, np.flatnonzero(unclear & (count > 0)), language):
-        pieces = _search_inside(profiles, split, int(k), sets[split.text[k]], int(language[k]), cuts is not None)
-        if pieces:
-            cuts[int(k)] = pieces
-    return split, language, np.where(foreign, over_main, margin), main, sets
+    pieces = {}
+    for k in _uneven(profiles, split, np.flatnonzero(unclear & (count > 0)), language).tolist():
+        if found := _search_inside(profiles, split, k, int(language[k])):
+            pieces[k] = found
+    sets: list[set[int]] = [set() for _ in texts]
+    for k in np.flatnonzero(language >= 0).tolist():
+        sets[split.text[k]].update([p[2] for p in pieces[k]] if k in pieces else (int(language[k]),))
+    return split, language, np.where(foreign, over_main, margin), main, sets, pieces
 
 
 def _uneven(profiles: Profiles, split: Split, sentences: np.ndarray, language: np.ndarray) -> np.ndarray:
@@ -331,11 +341,8 @@ def _uneven(profiles: Profiles, split: Split, sentences: np.ndarray, language: n
     return sentences[long | (gain >= LEAST_GAIN)]
 
 
-def _search_inside(
-    profiles: Profiles, split: Split, sentence: int, found: set[int], own: int, pieces: bool = False
-) -> list[tuple[int, int, int, float, float]]:
-    """Adds the language of a stretch inside a long sentence that isn't in the sentence's own language. With pieces, also
-    looks for languages that the text has elsewhere, and returns the pieces into which the stretches cut the sentence."""
+def _search_inside(profiles: Profiles, split: Split, sentence: int, own: int) -> list[Piece]:
+    """The pieces into which the clearest stretch of each other language cuts a sentence, none where there is no such."""
     at = int(np.searchsorted(split.sentence, sentence))
     lo = int(split.starts[at])
     hi = int(split.starts[at + 1]) if at + 1 < len(split.starts) else len(split.runs)
@@ -353,7 +360,7 @@ def _search_inside(
     best_gain = (sums - before).max(axis=0)
     stretches = []
     for k in np.flatnonzero(best_gain >= LEAST_GAIN).tolist():
-        if k == own or k in found and not pieces:
+        if k == own:
             continue
         diff = values[:, k] - values[:, own]
         if telling and cap[1:].any():
@@ -363,19 +370,17 @@ def _search_inside(
             ends = np.concatenate([cuts, [len(diff)]])
             i, j = ends[i], ends[j]
             if CUT_WORDS <= j - i and (len(diff) - (j - i) >= CUT_WORDS) and strength >= CUT_MARGIN and values[i:j].sum(axis=0).argmax() == k:
-                found.add(k)
                 stretches.append((strength, int(i), int(j), k))
                 continue
         strength, i, j = _stretch(diff, runs)
         if len(diff) >= LONG_WORDS and j - i >= STRETCH_WORDS and strength >= STRETCH_MARGIN and values[i:j].sum(axis=0).argmax() == k:
-            found.add(k)
             stretches.append((strength, i, j, k))
-    return _pieces(split, sentence, number, values, runs, stretches, own) if pieces and stretches else []
+    return _pieces(split, sentence, number, values, runs, stretches, own) if stretches else []
 
 
 def _pieces(
     split: Split, sentence: int, number: np.ndarray, values: np.ndarray, runs: np.ndarray, stretches: list[tuple[float, int, int, int]], own: int
-) -> list[tuple[int, int, int, float, float]]:
+) -> list[Piece]:
     """The sentence cut at its stretches (margin, first word, word after the last, language), the clearest on top; a
     capitalised word that was left out just before a piece opens it."""
     language = np.full(len(number), own)
@@ -402,17 +407,27 @@ def clean_label(label: Column) -> Column:
 
 
 def corpus_profiles(samples: DataFrame, sample_lang: str, sample: str, docs: DataFrame, key: str, text: str, label: str) -> Profiles:
-    """Profiles fitted on at most MAX_SAMPLES known sentences and SAMPLE_ROWS labelled texts, with at least LANGUAGE_ROWS of every
-    language that has them, chosen by hash, the texts cut to SAMPLE_CHARS for fitting only. These bounds fit the model; every row is then classified whole."""
+    """Profiles fitted on at most MAX_SAMPLES known sentences and about SAMPLE_ROWS labelled texts in the corpus's own mix of
+    languages, but LANGUAGE_ROWS of every language that has them, chosen by a hash of their id, the texts cut to
+    SAMPLE_CHARS for fitting only. These bounds fit the model; every row is then classified whole. One pass over the labels
+    counts the languages, one over the texts takes the rows whose hash is below their language's share."""
     known = (
         samples.where(F.col(sample).isNotNull()).select(F.col(sample_lang).alias("l"), F.col(sample).alias("s"))
         .orderBy(F.xxhash64("s"), "s", "l").limit(MAX_SAMPLES).collect()
     )
-    labelled = docs.select(F.col(key).alias("k"), clean_label(F.col(label)).alias("l"), F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t")).where(F.length("t") >= MIN_LETTERS)
-    mixed = [labelled.where(F.col("l").isin(*LANGUAGES)).orderBy(F.xxhash64("k"), "k").limit(SAMPLE_ROWS)]
-    each = [labelled.where(F.col("l") == lang).orderBy(F.xxhash64("k"), "k").limit(LANGUAGE_ROWS) for lang in LANGUAGES]
-    rows = {(r.k, r.l): r for r in reduce(DataFrame.unionByName, mixed + each).collect()}.values()
-    return fit([(r.l, r.s) for r in known], [(r.l, r.t) for r in rows])
+    named = docs.select(F.col(key).alias("k"), clean_label(F.col(label)).alias("l"), F.col(text).alias("t")).where(F.col("l").isin(*LANGUAGES))
+    counts = {r.l: r.n for r in named.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    every = max(sum(counts.values()), 1)
+    wanted = {lang: max(LANGUAGE_ROWS, round(SAMPLE_ROWS * n / every)) for lang, n in counts.items()}
+    # twice the wanted share, as short texts are left out
+    share = F.coalesce(*[F.when(F.col("l") == lang, F.lit(min(1.0, 2 * wanted[lang] / n))) for lang, n in counts.items()], F.lit(0.0))
+    place = F.pmod(F.xxhash64("k"), F.lit(1 << 30))
+    rows = named.where((place < share * (1 << 30)) & (F.length("t") >= MIN_LETTERS)).select("l", place.alias("h"), "k", F.substring("t", 1, SAMPLE_CHARS).alias("t"))
+    chosen: dict[str, list[str]] = {}
+    for r in rows.orderBy("h", "k").limit(3 * (SAMPLE_ROWS + LANGUAGE_ROWS * len(LANGUAGES))).collect():
+        if len(chosen.setdefault(r.l, [])) < wanted[r.l]:
+            chosen[r.l].append(r.t)
+    return fit([(r.l, r.s) for r in known], [(lang, t) for lang in LANGUAGES for t in chosen.get(lang, ())])
 
 
 def _chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
@@ -444,7 +459,7 @@ def text_languages(df: DataFrame, key: str, text: str, profiles: Profiles, *keep
         for batch in batches:
             letters, lang, langs, confidence = [], [], [], []
             for _, part in _chunks(batch.column(1).to_pylist()):
-                split, _, margin, main, sets = sentence_languages(model, part)
+                split, _, margin, main, sets, _ = sentence_languages(model, part)
                 letters += np.bincount(split.text, weights=split.letters, minlength=len(part)).astype(int).tolist()
                 weight = np.bincount(split.text, weights=split.letters * margin, minlength=len(part))
                 mean = weight / np.maximum(np.bincount(split.text, weights=split.letters, minlength=len(part)), 1)
@@ -471,8 +486,7 @@ def language_segments(df: DataFrame, key: str, text: str, profiles: Profiles) ->
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), []
             for at, part in _chunks(batch.column(1).to_pylist()):
-                cuts: dict[int, list[tuple[int, int, int, float, float]]] = {}
-                split, language, margin, _, _ = sentence_languages(model, part, cuts)
+                split, language, margin, _, _, cuts = sentence_languages(model, part)
                 last = (-1, -1)
                 whole = zip(split.begin.tolist(), split.end.tolist(), language.tolist(), margin.tolist(), split.letters.tolist())
                 for t, (b, e, k, m, n) in ((t, p) for i, (t, w) in enumerate(zip(split.text.tolist(), whole)) for p in cuts.get(i, (w,))):

@@ -77,16 +77,33 @@ def test_languages(spark):
 def test_stretches_without_full_stops():
     p = _profiles()
     run_on = "Petugas sangat membantu keluarga kami setiap hari The service was much faster than expected by all"
-    *_, found = langid.sentence_languages(p, [run_on, "昨天晚上客服比预期快得多 petugas sangat membantu keluarga kami", "Petugas sangat membantu keluarga Sarah Smith"])
+    *_, found, _ = langid.sentence_languages(p, [run_on, "昨天晚上客服比预期快得多 petugas sangat membantu keluarga kami", "Petugas sangat membantu keluarga Sarah Smith"])
     assert [{langid.LANGUAGES[k] for k in s} for s in found] == [{"id", "en"}, {"id", "zh"}, {"id"}]
 
 
+def test_segments_have_the_languages_of_the_text(spark):
+    run_on = "Petugas sangat membantu keluarga kami setiap hari The service was much faster than expected by all"
+    texts = [run_on, run_on.swapcase(), "Pelayanan cepat. " + run_on + ". 昨天晚上一切都很顺利", "The service was fast Saya Aku Di Ke Ya kami", "😀", "a b c d"]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id bigint, t string")
+    sets = {r.row_id: r.langs for r in langid.text_languages(df, "row_id", "t", _profiles()).collect()}
+    cut: dict[int, set[str]] = {}
+    for r in langid.language_segments(df, "row_id", "t", _profiles()).collect():
+        cut.setdefault(r.row_id, set()).add(r.lang)
+    assert {i: set(s) for i, s in sets.items() if s} == cut and cut[0] == {"id", "en"}
+
+
+def test_drawn_out_letters_tell_no_language():
+    split = langid.split_batch(["haaaaalo", "haalo", "aaaaaaaaaaaaaaaaaaaa"])
+    runs = {t: split.runs[a:b].tolist() for t, a, b in zip(split.text[split.sentence], split.starts, [*split.starts[1:], None])}
+    assert runs[0] == runs[1] and len(runs[2]) == 1 and split.letters.max() == 20
+
+
 def test_batches_equal_single_texts():
     texts = ["Petugas membantu. The service was fast", "", "a", "昨天晚上。一切", "x" * 3_000, "kata\n\nkata lain!!! ok?"]
     p = _profiles()
-    *_, main, sets = langid.sentence_languages(p, texts)
+    *_, main, sets, _ = langid.sentence_languages(p, texts)
     for i, t in enumerate(texts):
-        *_, one, own = langid.sentence_languages(p, [t])
+        *_, one, own, _ = langid.sentence_languages(p, [t])
         assert one[0] == main[i] and own[0] == sets[i]
 
 
@@ -98,7 +115,7 @@ def test_held_out_sentences(spark):
     rows = [(r.lang, r.sample) for r in spark.read.parquet(f"{FOLDER}/lang_samples.parquet").orderBy("sample_id").collect()]
     profiles = langid.fit([r for i, r in enumerate(rows) if i % 4], [])
     held = [r for i, r in enumerate(rows) if i % 4 == 0]
-    *_, main, _ = langid.sentence_languages(profiles, [s for _, s in held])
+    *_, main, _, _ = langid.sentence_languages(profiles, [s for _, s in held])
     assert sum(langid.LANGUAGES[k] == lang for k, (lang, _) in zip(main, held)) >= 0.93 * len(held)
 
 
