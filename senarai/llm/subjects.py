@@ -1,34 +1,41 @@
-"""Subject areas of documents, by label propagation over a document-phrase graph.
-
-Documents are linked through the phrases (words, word pairs, short runs of Han characters) of their sentences: two
-documents are similar where they share a phrase, and the phrase nodes keep the graph linear in the text, as no pair of
-documents is ever formed. A phrase is a verified link for a subject only if the lower confidence bound of the share of
-its labelled documents with that subject is high enough. Each round joins documents to verified phrases, gives every
-sentence the subjects of its phrases, and re-estimates the phrases: a seed document always counts with its hand labels
-(clamped), any other with the subjects of its *other* sentences, so that no phrase confirms itself. A document keeps
-the subjects of all its sentences, none, one or several.
+"""Subject areas of documents, by label propagation over a verified document-similarity graph.
+
+Two documents are similar where they share a phrase (a word, a word pair, a short run of Han characters) of a sentence.
+An edge is verified for a subject by its phrase: of the labelled documents that the phrase joins, the lower confidence
+bound of the share with that subject must be high enough, so that a label passed along the edge is likely right. All
+documents that share a phrase form a clique; it is kept as its hub, the phrase with its counts, through which one step
+of propagation (documents to hub, hub to documents) does what its N^2 pairs would, and no hub, however common, brings its
+documents into one task: its counts are combined where the documents lie and then summed. In each round documents take
+the subjects of their verified edges, sentence by sentence, and hubs are judged anew: a seed document always counts with
+its hand labels (clamped), any other with the subjects of its *other* sentences, so that no edge confirms itself. Rounds
+end when no hub changes. A document keeps the subjects of all its sentences, none, one or several.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
 #: First estimate from hand labels alone: z of the bound, least bound, least documents.
 SEED_Z, SEED_BOUND, SEED_DOCS = 1.0, 0.70, 2
-#: Later rounds: z, how far the bound must lie between the subject's base rate and 1, least sentences; number of rounds.
-ROUND_Z, ROUND_LIFT, ROUND_COUNT, ROUNDS = 2.0, 0.55, 5, 2
+#: Later rounds: z, how far the bound must lie between the subject's base rate and 1, least sentences; most rounds.
+ROUND_Z, ROUND_LIFT, ROUND_COUNT, ROUNDS = 2.0, 0.55, 5, 6
 #: A seed phrase seen this often outside seeds is dropped if its share there falls below the needed one.
 VETO_COUNT = 3
-#: Tables of at most so many rows are broadcast, checked by a count; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Verified hubs of one block: what is sent to the workers at once. Any number of blocks is applied in turn.
+BLOCK_HUBS = 500_000
+#: Sentences of held-out texts at most, which every worker holds.
+MAX_EXCLUDED = 1_000_000
+#: Phrases a worker remembers the hash of before it starts anew.
+CACHED_PHRASES = 1_000_000
 
 _SENTENCE_END = regex.compile(r"[.!?\n。！？…]+")
 _PART = regex.compile(r"[,;，]+")
@@ -52,48 +59,160 @@ def phrases(sentence: str) -> set[str]:
     return out
 
 
-def _hash(phrase: str) -> int:
-    return xxhash.xxh64_intdigest(phrase) - (1 << 63)
+class _Hashes(dict):
+    """phrase -> hash; remembers what it was asked."""
 
+    def __missing__(self, phrase: str) -> int:
+        if len(self) > CACHED_PHRASES:
+            self.clear()
+        self[phrase] = h = xxhash.xxh64_intdigest(phrase) - (1 << 63)
+        return h
 
-def phrase_sentences(df: DataFrame, key: str, text: str) -> DataFrame:
-    """doc_id, sents ARRAY<ARRAY<BIGINT>>: hashed phrases by sentence; null texts and empty sentences are left out."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0)
-            sents = [
-                [[_hash(p) for p in ps] for s in _SENTENCE_END.split(t) if (ps := phrases(s))] for t in batch.column(1).to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sents, pa.list_(pa.list_(pa.int64())))], names=["doc_id", "sents"])
+def sentence_form(sentence: str) -> str:
+    """What is compared of a sentence of a held-out text: its letters and digits."""
+    return "".join(_WORD.findall(sentence.lower()))
 
-    rows = df.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, sents array<array<bigint>>")
 
+def held_out_sentences(texts: DataFrame, text: str) -> frozenset[str]:
+    """The forms of the sentences of held-out texts, a parameter table that must stay within MAX_EXCLUDED sentences."""
+    rows = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).limit(MAX_EXCLUDED + 1).collect()
+    found = frozenset(f for r in rows for s in _SENTENCE_END.split(r.t) if (f := sentence_form(s)))
+    if len(rows) > MAX_EXCLUDED or len(found) > MAX_EXCLUDED:
+        raise ValueError(f"more than {MAX_EXCLUDED} held-out sentences")
+    return found
 
-def _small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df, broadcast if a count proves it small."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
+def document_phrases(df: DataFrame, key: str, text: str, excluded: frozenset[str]) -> DataFrame:
+    """doc_id, sizes ARRAY<INT>, phrases ARRAY<BIGINT>: the hashed phrases of a document's sentences, laid end to end, and
+    how many each has. Null texts, empty sentences and held-out ones are left out. One narrow stage."""
+    shared = df.sparkSession.sparkContext.broadcast(excluded)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, left_out = _Hashes(), shared.value
+        for batch in batches:
+            sizes, flat, ends = [], [], ([0], [0])
+            for t in batch.column(1).to_pylist():
+                for s in _SENTENCE_END.split(t):
+                    found = phrases(s)
+                    if found and not (left_out and sentence_form(s) in left_out):
+                        sizes.append(len(found))
+                        flat += [hashes[p] for p in found]
+                ends[0].append(len(sizes))
+                ends[1].append(len(flat))
+            lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(v, k)) for e, v, k in zip(ends, (sizes, flat), (pa.int32(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["doc_id", "sizes", "phrases"])
 
-def _bound(k: Column, n: Column, z: float) -> Column:
+    rows = df.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, sizes array<int>, phrases array<bigint>")
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values of a list column, number of values of each row)."""
+    return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy(zero_copy_only=False))
+
+
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive groups of rows of the sizes; 0 for an empty group."""
+    ends = np.concatenate([np.zeros((1, values.shape[1]), np.int64), np.cumsum(values, axis=0)])[np.concatenate([[0], np.cumsum(sizes)])]
+    return np.diff(ends, axis=0)
+
+
+def with_sentence_masks(graph: DataFrame, hubs: DataFrame, subjects: int) -> DataFrame:
+    """graph with masks ARRAY<BIGINT>: the subject of each sentence by its verified hubs (f, mask), several if equally many
+    speak for each. The hubs are sent in blocks of at most BLOCK_HUBS, each applied where the documents lie and its votes
+    added to those of the blocks before; there is no shuffle, however many there are."""
+    blocks = -(-hubs.count() // BLOCK_HUBS)
+    graph = graph.withColumns({"votes": F.array_repeat(F.lit(0).cast("bigint"), F.size("sizes") * subjects), "masks": F.transform("sizes", lambda _: F.lit(0).cast("bigint"))})
+    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in graph.schema)
+    # twice as many parts as needed on average, so that none outgrows the block
+    for b in range(2 * blocks if blocks > 1 else blocks):
+        part = hubs if blocks == 1 else hubs.where(F.pmod(F.xxhash64("f"), F.lit(2 * blocks)) == b)
+        rows = part.orderBy("f").limit(BLOCK_HUBS + 1).collect()
+        if len(rows) > BLOCK_HUBS:
+            raise ValueError("a block of hubs is too large")
+        shared = graph.sparkSession.sparkContext.broadcast((np.array([r.f for r in rows], np.int64), np.array([r.mask for r in rows], np.int64)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            known, mask = shared.value
+            for batch in batches:
+                phrases, _ = _flat(batch.column("phrases"))
+                sizes, sentences = _flat(batch.column("sizes"))
+                before, per_doc = _flat(batch.column("votes"))
+                at = np.minimum(np.searchsorted(known, phrases), max(len(known) - 1, 0))
+                hit = np.where(known[at] == phrases, mask[at], 0) if len(known) else np.zeros(len(phrases), np.int64)
+                votes = before.reshape(-1, subjects) + _sums(hit[:, None] >> np.arange(subjects) & 1, sizes)
+                most = (votes == votes.max(axis=1, keepdims=True)) & (votes > 0)
+                masks = (most.astype(np.int64) << np.arange(subjects)).sum(axis=1)
+                lists = lambda values, n: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(values, pa.int64()))
+                found = {"votes": lists(votes.ravel(), per_doc), "masks": lists(masks, sentences)}
+                columns = [found.get(n, batch.column(n)) for n in batch.schema.names]
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+        graph = graph.mapInArrow(run, out)
+    return graph.drop("votes")
+
+
+def hub_counts(rows: DataFrame, subjects: int, clamped: bool) -> DataFrame:
+    """f, n, k0..: how many documents (clamped: seeds, by their hand labels) or sentences (by the subjects of the other
+    sentences of the document) hold each phrase, and how many of these have each subject; combined within each batch."""
+    names = ["f", "n", *[f"k{i}" for i in range(subjects)]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            phrases, per_doc = _flat(batch.column("phrases"))
+            sizes, sentences = _flat(batch.column("sizes"))
+            if clamped:
+                doc = np.repeat(np.arange(len(per_doc)), per_doc)
+                by = np.lexsort((phrases, doc))
+                once = np.ones(len(by), dtype=bool)
+                once[1:] = (doc[by][1:] != doc[by][:-1]) | (phrases[by][1:] != phrases[by][:-1])
+                phrases, mask = phrases[by][once], batch.column("seed").to_numpy(zero_copy_only=False)[doc[by][once]]
+            else:
+                own, _ = _flat(batch.column("masks"))
+                doc = np.repeat(np.arange(len(sentences)), sentences)
+                other = np.zeros(len(own), dtype=np.int64)
+                for i in range(subjects):  # a subject of another sentence: had by two of them, or by one that isn't this
+                    has = own >> i & 1
+                    other |= (np.bincount(doc, weights=has, minlength=len(sentences)).astype(np.int64)[doc] - has > 0).astype(np.int64) << i
+                mask = np.repeat(other, sizes)
+                phrases, mask = phrases[mask != 0], mask[mask != 0]
+            f, at = np.unique(phrases, return_inverse=True)
+            sums = [np.bincount(at, minlength=len(f))] + [np.bincount(at, weights=mask >> i & 1, minlength=len(f)).astype(np.int64) for i in range(subjects)]
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), *[pa.array(x, pa.int64()) for x in sums]], names=names)
+
+    return rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
+
+
+def _bound(k: np.ndarray, n: np.ndarray, z: float) -> np.ndarray:
     """Lower end of the Wilson interval of k of n."""
-    n = F.greatest(n, F.lit(1))
+    n = np.maximum(n, 1)
     p = k / n
-    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-
+    return (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
-def _counts(pairs: DataFrame, subjects: int) -> DataFrame:
-    """f, n, k0..: how many of the (f, mask) rows, and how many with each subject; combined before the shuffle."""
-    each = [F.sum(F.shiftright("mask", i).bitwiseAND(F.lit(1))).alias(f"k{i}") for i in range(subjects)]
-    return pairs.groupBy("f").agg(F.count(F.lit(1)).alias("n"), *each)
 
+def verified_hubs(counts: DataFrame, need: list[float]) -> DataFrame:
+    """f, mask of the hubs that are verified for a subject: by seeds alone if nothing outside them speaks against it, or by
+    all documents. counts has f, n0, s0.. of seeds and n, k0.. of the others, any number of rows a phrase."""
+    subjects = len(need)
+    seeds, others = [f"s{i}" for i in range(subjects)], [f"k{i}" for i in range(subjects)]
 
-def _mask(parts: list[Column], accept) -> Column:
-    """The bit mask of the positions of the zipped arrays that accept holds for: one lambda, however many subjects."""
-    zero = F.lit(0).cast("bigint")
-    bit = lambda e, i: F.when(accept(e), F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(zero)
-    return F.aggregate(F.transform(F.arrays_zip(*parts), bit), zero, lambda x, y: x.bitwiseOR(y))
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+            n0, mask = column("n0"), np.zeros(batch.num_rows, dtype=np.int64)
+            n = n0 + column("n")
+            for i in range(subjects):
+                k0 = column(seeds[i])
+                k = k0 + column(others[i])
+                by_seeds = (n0 >= SEED_DOCS) & (_bound(k0, n0, SEED_Z) >= SEED_BOUND) & ((n - n0 < VETO_COUNT) | (k >= need[i] * n))
+                by_all = (n >= ROUND_COUNT) & (_bound(k, n, ROUND_Z) >= need[i])
+                mask |= (by_seeds | by_all).astype(np.int64) << i
+            kept = np.flatnonzero(mask)
+            yield pa.RecordBatch.from_arrays([batch.column("f").take(pa.array(kept)), pa.array(mask[kept], pa.int64())], names=["f", "mask"])
+
+    summed = counts.groupBy("f").agg(*[F.sum(c).alias(c) for c in ("n0", *seeds, "n", *others)])
+    return summed.mapInArrow(judge, "f bigint, mask bigint")
 
 
 def propagate(
@@ -111,12 +230,16 @@ def propagate(
     """doc_id, subject: the subjects of each document, distinct; documents without a subject have no row.
 
     labels may hold several rows a document, repeated ones, nulls, unknown subjects and ids without a document; these are
-    ignored. A seed document for which nothing is found keeps its labels. Phrases that occur in the texts of exclude (at
-    most held-out passages) never link. Null and empty texts get no subject; a document id that occurs twice is one
-    document with the sentences of both. Without labels nothing is assigned. Other columns are ignored.
+    ignored. Hand labels are clamped during propagation; in the result a hand label is trusted unless the graph speaks
+    against it, that is unless it gives the document subjects and not this one; where it gives none, the labels stay.
+    Sentences that are sentences of exclude's texts (held-out passages, at most MAX_EXCLUDED) neither carry a subject nor
+    count. Null and empty texts get no subject; a document id that occurs twice is one document with the subjects of both
+    rows. Without labels nothing is assigned. At most 62 subjects, as they are bits of one number. Other columns are
+    ignored.
     """
     if not 0 < len(subjects) <= 62:
         raise ValueError("between 1 and 62 subjects are needed")
+    count = len(subjects)
     number = F.create_map(*[F.lit(x) for i, s in enumerate(subjects) for x in (s, i)])
     seeds = (
         labels.select(F.col(label_key).cast("bigint").alias("doc_id"), number[F.col(label)].alias("i"))
@@ -124,73 +247,29 @@ def propagate(
         .groupBy("doc_id")
         .agg(F.expr("bit_or(shiftleft(1L, i))").alias("seed"))
     )
-    graph = cut_lineage(phrase_sentences(docs, key, text).join(_small(seeds), "doc_id", "left"))
-    count = len(subjects)
-
-    barred = None
-    if exclude is not None:
-        source = exclude.where(F.col(exclude_text).isNotNull()).select(F.lit(0).alias("k"), F.col(exclude_text).alias("t"))
-        found = phrase_sentences(source, "k", "t").select(F.explode(F.flatten("sents")).alias("f")).distinct()
-        barred = cut_lineage(found)
-
-    def allowed(table: DataFrame) -> DataFrame:
-        return table if barred is None else table.join(_small(barred), "f", "left_anti")
-
-    labelled = graph.where("seed IS NOT NULL").select(F.explode(F.array_distinct(F.flatten("sents"))).alias("f"), F.col("seed").alias("mask"))
-    seed_counts = cut_lineage(allowed(_counts(labelled, count)))
-    rates = graph.where("seed IS NOT NULL").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(F.shiftright("seed", i).bitwiseAND(F.lit(1))).alias(f"k{i}") for i in range(count)]
-    ).first()
+    excluded = held_out_sentences(exclude, exclude_text) if exclude is not None else frozenset()
+    graph = cut_lineage(document_phrases(docs, key, text, excluded).join(seeds, "doc_id", "left"))
+    clamped, free = graph.where("seed IS NOT NULL"), graph.where("seed IS NULL")
+    rates = clamped.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.shiftright("seed", i).bitwiseAND(F.lit(1))).alias(f"k{i}") for i in range(count)]).first()
     base = [(rates[f"k{i}"] or 0) / max(rates["n"], 1) for i in range(count)]
     need = [b + ROUND_LIFT * (1 - b) for b in base]
-
-    n, n0 = F.col("n"), F.col("n0")
-    array = lambda prefix: F.array(*[F.col(f"{prefix}{i}").cast("bigint") for i in range(count)])
-    first = _mask([array("k").alias("k")], lambda e: (n >= SEED_DOCS) & (_bound(e["k"], n, SEED_Z) >= SEED_BOUND))
-    links = seed_counts.select("f", first.alias("mask")).where("mask <> 0")
-
-    def sentence_masks(links: DataFrame) -> DataFrame:
-        """doc_id, k, mask of the sentences with a verified phrase."""
-        flat = graph.select("doc_id", F.posexplode("sents").alias("k", "fs")).select("doc_id", "k", F.explode("fs").alias("f"))
-        return flat.join(_small(links), "f").groupBy("doc_id", "k").agg(F.bit_or("mask").alias("mask"))
-
+    zero = F.lit(0).cast("bigint")
+    blank = {"n": "n0", **{f"k{i}": f"s{i}" for i in range(count)}}
+    seeded = hub_counts(clamped, count, True).groupBy("f").agg(*[F.sum(c).alias(s) for c, s in blank.items()])
+    seeded = cut_lineage(seeded.select("f", *blank.values(), *[zero.alias(c) for c in blank]))
+    # by the seeds alone first: nothing else has been seen, so nothing speaks against them
+    hubs = cut_lineage(verified_hubs(seeded, need))
+    state = None
     for _ in range(rounds):
-        zero = F.struct(F.lit(0).cast("bigint").alias("one"), F.lit(0).cast("bigint").alias("two"))
-        seen = F.aggregate(
-            F.map_values("masks"),
-            zero,
-            lambda a, m: F.struct(a["one"].bitwiseOR(m).alias("one"), a["two"].bitwiseOR(a["one"].bitwiseAND(m)).alias("two")),
-        )
-        state = sentence_masks(links).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "mask"))).alias("masks"))
-        state = state.select("doc_id", "masks", seen.alias("seen"))
-        others = graph.where("seed IS NULL").join(state, "doc_id").select("masks", "seen", F.posexplode("sents").alias("k", "fs"))
-        own = F.coalesce(F.col("masks")[F.col("k")], F.lit(0).cast("bigint"))
-        other = F.col("seen.two").bitwiseOR(F.col("seen.one").bitwiseAND(F.bitwise_not(own)))
-        pairs = others.select("fs", other.alias("mask")).where("mask <> 0").select(F.explode("fs").alias("f"), "mask")
-        spread = allowed(_counts(pairs, count))
-        zeros = F.array(*[F.lit(0).cast("bigint")] * count)
-        a = spread.select("f", F.col("n").alias("n1"), array("k").alias("k1"))
-        b = seed_counts.select("f", F.col("n").alias("n0"), array("k").alias("k0"))
-        both = a.join(b, "f", "full").select(
-            "f",
-            F.coalesce("n0", F.lit(0)).alias("n0"),
-            (F.coalesce("n0", F.lit(0)) + F.coalesce("n1", F.lit(0))).alias("n"),
-            F.coalesce("k0", zeros).alias("k0"),
-            F.zip_with(F.coalesce("k0", zeros), F.coalesce("k1", zeros), lambda x, y: x + y).alias("k"),
-        )
-        kept = _mask(
-            [F.col("k"), F.col("k0"), F.array(*[F.lit(x) for x in need]).alias("need")],
-            lambda e: ((n >= ROUND_COUNT) & (_bound(e["k"], n, ROUND_Z) >= e["need"]))
-            | (
-                (n0 >= SEED_DOCS)
-                & (_bound(e["k0"], n0, SEED_Z) >= SEED_BOUND)
-                & ((n - n0 < VETO_COUNT) | (e["k"] / F.greatest(n, F.lit(1)) >= e["need"]))
-            ),
-        )
-        links = cut_lineage(both.select("f", kept.alias("mask")).where("mask <> 0"))
-
-    found = sentence_masks(links).groupBy("doc_id").agg(F.bit_or("mask").alias("mask"))
-    kept_seeds = graph.where("seed IS NOT NULL").select("doc_id", F.col("seed").alias("mask")).join(found, "doc_id", "left_anti")
-    every = found.unionByName(kept_seeds)
+        spread = hub_counts(with_sentence_masks(free, hubs, count), count, False).select("f", *[zero.alias(s) for s in blank.values()], *blank)
+        hubs = cut_lineage(verified_hubs(seeded.unionByName(spread), need))
+        now = tuple(hubs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("f", "mask").cast("decimal(38,0)"))).first())
+        if now == state:
+            break
+        state = now
+
+    every = F.aggregate("masks", F.lit(0).cast("bigint"), lambda x, y: x.bitwiseOR(y))
+    found = with_sentence_masks(graph, hubs, count).select("doc_id", every.alias("found"), F.coalesce("seed", F.lit(0)).alias("seed"))
+    mask = F.when(F.col("found") != 0, F.col("found")).otherwise(F.col("seed"))
     names = F.array(*[F.when(F.shiftright("mask", i).bitwiseAND(F.lit(1)) == 1, F.lit(s)) for i, s in enumerate(subjects)])
-    return every.select("doc_id", F.explode(F.array_compact(names)).alias("subject")).distinct()
+    return found.select("doc_id", mask.alias("mask")).where("mask <> 0").select("doc_id", F.explode(F.array_compact(names)).alias("subject")).distinct()
