@@ -13,6 +13,7 @@ end when no hub changes. A document keeps the subjects of all its sentences, non
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,14 +41,19 @@ CACHED_PHRASES = 1_000_000
 _SENTENCE_END = regex.compile(r"[.!?\n。！？…]+")
 _PART = regex.compile(r"[,;，]+")
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
+_ASCII_WORD = re.compile(r"[a-z0-9]+")
 _HAN = regex.compile(r"\p{Han}+")
 
 
 def phrases(sentence: str) -> set[str]:
     """Words, adjacent word pairs, and runs of 2 to 4 Han characters of a sentence, lower-cased, numbers left out."""
     out: set[str] = set()
-    for part in _PART.split(sentence.lower()):
-        if part.isascii() or not _HAN.search(part):
+    low = sentence.lower()
+    plain = low.isascii()
+    for part in (low.replace(";", ",").split(",") if plain else _PART.split(low)):
+        if plain:
+            words = [w for w in _ASCII_WORD.findall(part) if not w.isdigit()]
+        elif part.isascii() or not _HAN.search(part):
             words = [w for w in _WORD.findall(part) if not w.isdigit()]
         else:
             for run in _HAN.findall(part):
@@ -69,21 +75,18 @@ class _Hashes(dict):
         return h
 
 
-def sentence_form(sentence: str) -> str:
-    """What is compared of a sentence of a held-out text: its letters and digits."""
-    return "".join(_WORD.findall(sentence.lower()))
-
-
-def held_out_sentences(texts: DataFrame, text: str) -> frozenset[str]:
-    """The forms of the sentences of held-out texts, a parameter table that must stay within MAX_EXCLUDED sentences."""
+def held_out_sentences(texts: DataFrame, text: str) -> frozenset[int]:
+    """The sentences of held-out texts, each as the sum of its phrases' hashes: equal for sentences of the same phrases. A
+    parameter table that must stay within MAX_EXCLUDED sentences."""
     rows = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).limit(MAX_EXCLUDED + 1).collect()
-    found = frozenset(f for r in rows for s in _SENTENCE_END.split(r.t) if (f := sentence_form(s)))
+    hashes = _Hashes()
+    found = frozenset(sum(hashes[p] for p in ps) for r in rows for s in _SENTENCE_END.split(r.t) if (ps := phrases(s)))
     if len(rows) > MAX_EXCLUDED or len(found) > MAX_EXCLUDED:
         raise ValueError(f"more than {MAX_EXCLUDED} held-out sentences")
     return found
 
 
-def document_phrases(df: DataFrame, key: str, text: str, excluded: frozenset[str]) -> DataFrame:
+def document_phrases(df: DataFrame, key: str, text: str, excluded: frozenset[int]) -> DataFrame:
     """doc_id, sizes ARRAY<INT>, phrases ARRAY<BIGINT>: the hashed phrases of a document's sentences, laid end to end, and
     how many each has. Null texts, empty sentences and held-out ones are left out. One narrow stage."""
     shared = df.sparkSession.sparkContext.broadcast(excluded)
@@ -94,10 +97,10 @@ def document_phrases(df: DataFrame, key: str, text: str, excluded: frozenset[str
             sizes, flat, ends = [], [], ([0], [0])
             for t in batch.column(1).to_pylist():
                 for s in _SENTENCE_END.split(t):
-                    found = phrases(s)
-                    if found and not (left_out and sentence_form(s) in left_out):
+                    found = [hashes[p] for p in phrases(s)]
+                    if found and sum(found) not in left_out:
                         sizes.append(len(found))
-                        flat += [hashes[p] for p in found]
+                        flat += found
                 ends[0].append(len(sizes))
                 ends[1].append(len(flat))
             lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(v, k)) for e, v, k in zip(ends, (sizes, flat), (pa.int32(), pa.int64()))]
@@ -112,12 +115,6 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy(zero_copy_only=False))
 
 
-def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Sums of consecutive groups of rows of the sizes; 0 for an empty group."""
-    ends = np.concatenate([np.zeros((1, values.shape[1]), np.int64), np.cumsum(values, axis=0)])[np.concatenate([[0], np.cumsum(sizes)])]
-    return np.diff(ends, axis=0)
-
-
 def with_sentence_masks(graph: DataFrame, hubs: DataFrame, subjects: int) -> DataFrame:
     """graph with masks ARRAY<BIGINT>: the subject of each sentence by its verified hubs (f, mask), several if equally many
     speak for each. The hubs are sent in blocks of at most BLOCK_HUBS, each applied where the documents lie and its votes
@@ -141,7 +138,11 @@ def with_sentence_masks(graph: DataFrame, hubs: DataFrame, subjects: int) -> Dat
                 before, per_doc = _flat(batch.column("votes"))
                 at = np.minimum(np.searchsorted(known, phrases), max(len(known) - 1, 0))
                 hit = np.where(known[at] == phrases, mask[at], 0) if len(known) else np.zeros(len(phrases), np.int64)
-                votes = before.reshape(-1, subjects) + _sums(hit[:, None] >> np.arange(subjects) & 1, sizes)
+                votes = before.reshape(-1, subjects).copy()
+                hits = np.flatnonzero(hit)
+                sentence, hit = np.repeat(np.arange(len(sizes)), sizes)[hits], hit[hits]
+                for i in range(subjects):
+                    votes[:, i] += np.bincount(sentence[hit >> i & 1 == 1], minlength=len(sizes))
                 most = (votes == votes.max(axis=1, keepdims=True)) & (votes > 0)
                 masks = (most.astype(np.int64) << np.arange(subjects)).sum(axis=1)
                 lists = lambda values, n: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(values, pa.int64()))
@@ -177,8 +178,12 @@ def hub_counts(rows: DataFrame, subjects: int, clamped: bool) -> DataFrame:
                     other |= (np.bincount(doc, weights=has, minlength=len(sentences)).astype(np.int64)[doc] - has > 0).astype(np.int64) << i
                 mask = np.repeat(other, sizes)
                 phrases, mask = phrases[mask != 0], mask[mask != 0]
-            f, at = np.unique(phrases, return_inverse=True)
-            sums = [np.bincount(at, minlength=len(f))] + [np.bincount(at, weights=mask >> i & 1, minlength=len(f)).astype(np.int64) for i in range(subjects)]
+            f, n = np.unique(phrases, return_counts=True)
+            sums = [n]
+            for i in range(subjects):
+                held, k = np.unique(phrases[mask >> i & 1 == 1], return_counts=True)
+                sums.append(np.zeros(len(f), dtype=np.int64))
+                sums[-1][np.searchsorted(f, held)] = k
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), *[pa.array(x, pa.int64()) for x in sums]], names=names)
 
     return rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
