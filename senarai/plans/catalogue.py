@@ -174,7 +174,7 @@ def top_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def top_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
-    return features.top_vocabulary(features.document_frequency(_classifier(spark, folder), "text"))
+    return features.top_vocabulary(features.vocabulary(_classifier(spark, folder), "row_id", "text"))
 
 
 def first_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
@@ -188,18 +188,14 @@ def training_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def label_histogram(spark: SparkSession, folder: str) -> DataFrame:
-    return features.label_histogram(table(spark, folder, "labelled").select(T.clean_label(F.col("sentiment")).alias("s")), "s")
+    """Of the sampled training labels."""
+    return features.label_histogram(stratified_sample(spark, folder), "label")
 
 
 def sentiment_filter(spark: SparkSession, folder: str) -> DataFrame:
     return labelling.by_sentiment(table(spark, folder, "labelled"), "sentiment", "positif").select("row_id", "sentiment")
 
 
-def svm_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """Per-class metrics of the classifier on the held-out splits."""
-    return evaluate.class_metrics(evaluate.cells(svm_predict(spark, folder), "actual_label", "predicted_label"))
-
-
 def stratified_sample(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "labelled").where("raw IS NOT NULL").select("row_id", T.sentiment_synonym(F.col("sentiment")).alias("label"))
     return features.stratified_sample(rows, "row_id", "label", SAMPLE_ROWS)
@@ -259,24 +255,51 @@ def evaluation_report(spark: SparkSession, folder: str) -> DataFrame:
 # models
 
 
-def _training(spark: SparkSession, folder: str, *splits: str) -> DataFrame:
-    rows = table(spark, folder, "labelled").where(F.col("split").isin(*splits) & F.col("raw").isNotNull() & F.col("sentiment").isNotNull())
+def _training(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "labelled").where((F.col("split") == "train") & F.col("raw").isNotNull() & F.col("sentiment").isNotNull())
     return rows.select("row_id", "raw", T.sentiment_synonym(F.col("sentiment")).alias("label"))
 
 
+def _testing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row with text of the other splits; the label may be missing."""
+    rows = table(spark, folder, "labelled").where(F.col("split").isin("test", "valid") & F.col("raw").isNotNull())
+    label = F.when(F.col("sentiment").isNotNull(), T.sentiment_synonym(F.col("sentiment")))
+    return spread(rows.select("row_id", "raw", label.alias("actual_label")))
+
+
+def _classified(spark: SparkSession, folder: str) -> tuple[DataFrame, str | None]:
+    test = _testing(spark, folder)
+    found, error = model.classified(_training(spark, folder), test, "row_id", "raw", "label")
+    return test.join(found, "row_id"), error
+
+
 def svm_predict(spark: SparkSession, folder: str) -> DataFrame:
-    machines = model.train_one_vs_rest(_training(spark, folder, "train"), "row_id", "raw", "label")
-    test = _training(spark, folder, "test", "valid")
-    return machines.predict(test, "row_id", "raw").join(test.select("row_id", F.col("label").alias("actual_label")), "row_id")
+    return _classified(spark, folder)[0].select("row_id", "actual_label", "predicted_label", "confidence")
+
+
+def svm_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """Per-class metrics of the classifier on the labelled rows of the held-out splits."""
+    rows = svm_predict(spark, folder).where("actual_label IS NOT NULL")
+    return evaluate.class_metrics(evaluate.cells(rows, "actual_label", "predicted_label"))
+
+
+def svm_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Training summary, accuracy over all test rows and macro metrics of the classifier."""
+    scored, error = _classified(spark, folder)
+    train = _training(spark, folder).select(T.classifier_text(F.col("raw")).alias("text"), "label")
+    return model.summary(spark, train, "text", "label", scored, "actual_label", error)
+
+
+def stored_accuracy(spark: SparkSession, folder: str) -> DataFrame:
+    """Accuracy, correct and wrong counts of stored predictions by method, rows without an actual label being wrong."""
+    rows = table(spark, folder, "predictions")
+    named = rows.select(*[T.clean_label(F.col(c)).alias(c) for c in ("method_name", "actual_label", "predicted_label")])
+    out = model.accuracy(named, "actual_label", "predicted_label", ("method_name",))
+    return out.select("method_name", "total_samples", "correct_predictions", "wrong_predictions", _r6("accuracy"))
 
 
 def cosine_knn(spark: SparkSession, folder: str) -> DataFrame:
-    train = _training(spark, folder, "train").withColumn("text", T.classifier_text(F.col("raw")))
-    test = _training(spark, folder, "test", "valid").withColumn("text", T.classifier_text(F.col("raw")))
-    idf = cut_lineage(features.smoothed_idf(train, "text"))
-    labels = cut_lineage(features.stratified_sample(train, "row_id", "label", SAMPLE_ROWS))
-    sample = train.join(F.broadcast(labels.select("row_id")), "row_id", "left_semi")
-    out = model.cosine_neighbours(features.tfidf(sample, "row_id", "text", idf), features.tfidf(test, "row_id", "text", idf), labels, "row_id", max_train=SAMPLE_ROWS)
+    out = model.cosine_neighbours(_training(spark, folder), _testing(spark, folder), "row_id", "raw", "label", max_train=SAMPLE_ROWS)
     return out.select("row_id", "predicted_label", _r6("confidence"))
 
 
@@ -318,7 +341,7 @@ def queries() -> dict[str, Query]:
         confidence_bars, distribution_bars, analyze_service, preprocess_full, preprocess_labelled, wrangle_keep_first,
         wrangle_removed_count, strict_cleansing, paginate, page_summary, bulk_edit, learned_keywords, classifier_text,
         document_frequency, smoothed_idf, tfidf_vectors, idf_stats, top_terms, top_vocabulary, first_vocabulary, training_summary,
-        label_histogram, sentiment_filter, svm_metrics, stratified_sample, class_metrics,
+        label_histogram, sentiment_filter, svm_metrics, svm_summary, stored_accuracy, stratified_sample, class_metrics,
         macro_metrics, confusion_matrix, confusion_metrics, compare_methods, best_method, evaluation_report, svm_predict,
         cosine_knn, stream_sentiment, p6_found, p6_loaded, p6_report,
     )

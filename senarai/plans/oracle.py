@@ -196,6 +196,8 @@ def oracle_sql() -> dict[str, str]:
     labels = f"(SELECT row_id, {label} AS label, md5('senarai' || row_id::VARCHAR) AS mix FROM labelled WHERE raw IS NOT NULL)"
     each = f"greatest(1, {SAMPLE_ROWS} // (SELECT count(DISTINCT label) FROM {labels}))"
     first = f"(SELECT row_id, label, mix FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY mix, row_id) AS rn FROM {labels}) WHERE rn <= {each})"
+    sampled = f"""WITH f AS {first} SELECT row_id, label FROM f UNION ALL
+            (SELECT row_id, label FROM {labels} WHERE row_id NOT IN (SELECT row_id FROM f) ORDER BY mix, row_id LIMIT (SELECT greatest(0, {SAMPLE_ROWS} - count(*)) FROM f))"""
     split = lambda cond: f"(SELECT row_id, text, label FROM {_CLEAN} JOIN (SELECT row_id, {label} AS label FROM labelled WHERE {cond} AND sentiment IS NOT NULL) USING (row_id))"
     stage = lambda name: f"SELECT row_id, {name} FROM {reviews}"
     distribution = _distribution("sentiment", auto)
@@ -230,16 +232,20 @@ def oracle_sql() -> dict[str, str]:
         "tfidf_vectors": f"SELECT row_id, term, {_r('w')} FROM {_tfidf(_CLEAN, _idf(_CLEAN))}",
         "idf_stats": f"SELECT {_r('avg_idf', 'min_idf', 'max_idf')}, vocabulary_size FROM (SELECT avg(idf) AS avg_idf, min(idf) AS min_idf, max(idf) AS max_idf, count(*) AS vocabulary_size FROM {_idf(_CLEAN)})",
         "top_terms": f"SELECT term, {_r('tf')}, place FROM (SELECT term, c::DOUBLE / sum(c) OVER () AS tf, (row_number() OVER (ORDER BY c DESC, term))::INT AS place FROM (SELECT term, count(*) AS c FROM {_words(_CLEAN)} WHERE strlen(term) > 1 GROUP BY term)) WHERE place <= 20",
-        "top_vocabulary": f"SELECT term, df, place FROM (SELECT term, df, (row_number() OVER (ORDER BY df DESC, term))::INT AS place FROM {_df(_CLEAN)}) WHERE place <= 300",
+        "top_vocabulary": f"""SELECT term, df, (row_number() OVER (ORDER BY rid, ps))::INT AS place FROM
+            (SELECT term, count(DISTINCT row_id) AS df, min(row_id) AS rid, arg_min(ps, row_id * 1000000 + ps) AS ps FROM (SELECT row_id, unnest(w) AS term, generate_subscripts(w, 1) AS ps FROM
+              (SELECT row_id, list_filter(string_split(lower(text), ' '), lambda x: trim(x) <> '') AS w FROM {_CLEAN})) WHERE strlen(term) > 1 GROUP BY term ORDER BY df DESC, rid, ps LIMIT 300)""",
         "first_vocabulary": f"""SELECT term, {_r('idf')}, (row_number() OVER (ORDER BY rid, ps))::INT AS place FROM
             (SELECT term, min(row_id) AS rid, arg_min(ps, row_id * 1000000 + ps) AS ps FROM (SELECT row_id, unnest(w) AS term, generate_subscripts(w, 1) AS ps FROM
               (SELECT row_id, list_filter(string_split(lower(text), ' '), lambda x: trim(x) <> '') AS w FROM {_CLEAN})) WHERE strlen(term) > 1 GROUP BY term) JOIN {_idf(_CLEAN)} USING (term)
             QUALIFY place <= 20""",
         "training_summary": f"SELECT vocabulary_size, total_documents, {_r('avg_idf', 'min_idf', 'max_idf')}, n_labels FROM (SELECT count(*) AS vocabulary_size, avg(idf) AS avg_idf, min(idf) AS min_idf, max(idf) AS max_idf FROM {_idf(_CLEAN)}), (SELECT count(*) AS total_documents, count(DISTINCT sentiment) AS n_labels FROM labelled WHERE raw IS NOT NULL)",
-        "label_histogram": f"SELECT lower({_trim('sentiment')}) AS label, count(*) AS n FROM labelled GROUP BY ALL",
+        "label_histogram": f"SELECT label, count(*) AS n FROM ({sampled}) GROUP BY label",
+        "stored_accuracy": f"""SELECT method_name, total_samples, correct_predictions, total_samples - correct_predictions AS wrong_predictions, round(correct_predictions::DOUBLE / total_samples, 6) + 0.0 AS accuracy
+            FROM (SELECT lower({_trim('method_name')}) AS method_name, count(*) AS total_samples, count(*) FILTER (lower({_trim("coalesce(actual_label, '')")}) NOT IN ('', '0')
+              AND lower({_trim('actual_label')}) = lower({_trim('predicted_label')})) AS correct_predictions FROM predictions GROUP BY 1)""",
         "sentiment_filter": "SELECT row_id, sentiment FROM labelled WHERE lower(sentiment) = 'positif'",
-        "stratified_sample": f"""WITH f AS {first} SELECT row_id, label FROM f UNION ALL
-            (SELECT row_id, label FROM {labels} WHERE row_id NOT IN (SELECT row_id FROM f) ORDER BY mix, row_id LIMIT (SELECT greatest(0, {SAMPLE_ROWS} - count(*)) FROM f))""",
+        "stratified_sample": sampled,
         "class_metrics": f"SELECT method, label, tp, fp, fn, {_r('precision', 'recall', 'f1_score')} FROM {_class_metrics('method,')}",
         "macro_metrics": f"SELECT sample_count, correct, {_r('accuracy', 'precision', 'recall', 'f1_score')} FROM (SELECT *, correct::DOUBLE / sample_count AS accuracy FROM (SELECT (SELECT count(*) FROM predictions) AS sample_count, sum(tp)::BIGINT AS correct, sum(precision) / 3 AS precision, sum(recall) / 3 AS recall, sum(f1_score) / 3 AS f1_score FROM {_class_metrics('')}))",
         "confusion_matrix": f"SELECT * FROM {_confusion('method, ')}",
@@ -250,7 +256,7 @@ def oracle_sql() -> dict[str, str]:
         "compare_methods": f"SELECT method, sample_count, {_r('accuracy', 'precision', 'recall', 'f1_score')}, (row_number() OVER (ORDER BY accuracy DESC, first_seen, method))::INT AS place FROM {_methods()}",
         "best_method": f"SELECT method AS best_method, round(accuracy, 6) + 0.0 AS best_accuracy FROM {_methods()} WHERE accuracy > 0 ORDER BY accuracy DESC, first_seen, method LIMIT 1",
         "evaluation_report": _report(),
-        "cosine_knn": f"""WITH tr AS MATERIALIZED {split("split = 'train'")}, te AS MATERIALIZED {split("split IN ('test', 'valid')")}, idf AS MATERIALIZED {_idf("tr")},
+        "cosine_knn": f"""WITH tr AS MATERIALIZED {split("split = 'train'")}, te AS MATERIALIZED (SELECT row_id, text FROM {_CLEAN} JOIN (SELECT row_id FROM labelled WHERE split IN ('test', 'valid')) USING (row_id)), idf AS MATERIALIZED {_idf("tr")},
             l AS (SELECT row_id, label, md5('senarai' || row_id::VARCHAR) AS mix FROM tr),
             f AS MATERIALIZED (SELECT row_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY mix, row_id) AS rn FROM l) WHERE rn <= greatest(1, {SAMPLE_ROWS} // (SELECT count(DISTINCT label) FROM l))),
             s AS MATERIALIZED (SELECT row_id, label FROM f UNION ALL (SELECT row_id, label FROM l WHERE row_id NOT IN (SELECT row_id FROM f) ORDER BY mix, row_id LIMIT (SELECT greatest(0, {SAMPLE_ROWS} - count(*)) FROM f))),
@@ -259,7 +265,7 @@ def oracle_sql() -> dict[str, str]:
             near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY round(sim, 9) DESC, t) AS rn FROM sim) WHERE rn <= 5),
             votes AS (SELECT near.row_id, label, sum(sim) AS vote FROM near JOIN s ON s.row_id = t GROUP BY ALL),
             best AS (SELECT row_id, label, vote / sum(vote) OVER (PARTITION BY row_id) AS c, row_number() OVER (PARTITION BY row_id ORDER BY round(vote, 9) DESC, label) AS rn FROM votes)
-            SELECT row_id, coalesce(label, 'netral') AS predicted_label, round(coalesce(c, 0), 6) + 0.0 AS confidence FROM (SELECT DISTINCT row_id FROM b) LEFT JOIN (SELECT * FROM best WHERE rn = 1) USING (row_id)""",
+            SELECT row_id, coalesce(label, 'netral') AS predicted_label, round(coalesce(c, 0), 6) + 0.0 AS confidence FROM (SELECT DISTINCT row_id FROM te) LEFT JOIN (SELECT * FROM best WHERE rn = 1) USING (row_id)""",
         "stream_sentiment": f"SELECT row_id, sentiment, round(confidence, 6) + 0.0 AS confidence FROM {auto}",
     } | _p6()
 
