@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.lexicons import LABELS
 from ..functions.text import capitalize_first, clean_label, percent
 
-REPORT_ROWS = 1_000
-
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / F.greatest(b, F.lit(1))).otherwise(0.0)

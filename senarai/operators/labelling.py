@@ -77,19 +77,38 @@ def page(df: DataFrame, number: int, total: int, size: int = PAGE_ROWS) -> DataF
     return df.where((F.col("pos") >= (number - 1) * size) & (F.col("pos") < number * size))
 
 
-def bulk_edit(df: DataFrame, edits: DataFrame, size: int = PAGE_ROWS) -> DataFrame:
+def checked_edits(edits: DataFrame, labels: tuple[str, ...] = lexicons.LABELS) -> DataFrame:
+    """edits (page, row, label, ...) with `valid`: a known label and a place that can be one, page from 1 and row from 0."""
+    place = (F.col("page") >= 1) & (F.col("row") >= 0)
+    return edits.withColumn("valid", F.coalesce(place & F.col("label").isin(*labels), F.lit(False)))
+
+
+def _edited(df: DataFrame, edits: DataFrame, order: str | None, size: int) -> DataFrame:
+    """df with __label: that of the last valid edit of each row by the column order, null where there is none."""
+    valid = checked_edits(edits).where("valid")
+    turn = F.col(order) if order else F.lit(0)
+    at = valid.select(((F.col("page") - 1) * size + F.col("row")).cast("bigint").alias("pos"), turn.alias("__turn"), F.col("label").alias("__label"))
+    last = at.groupBy("pos").agg(F.max(F.struct("__turn", "__label"))["__label"].alias("__label"))
+    return df.join(last, "pos", "left")
+
+
+def bulk_edit(df: DataFrame, edits: DataFrame, size: int = PAGE_ROWS, order: str | None = None) -> DataFrame:
     """df (pos, sentiment, confidence, ...) with the labels of edits (page, row, label) and confidence 1.0 where edited.
 
-    Places outside the table are ignored. Of several edits of a row the alphabetically last counts.
+    Places outside the table and edits with an unknown label, a page below 1 or a row below 0 are ignored. Of several
+    edits of a row the last by the column order counts; without one, or between equal ones, the alphabetically last label.
     """
-    at = edits.select(((F.col("page") - 1) * size + F.col("row")).cast("bigint").alias("pos"), F.col("label").alias("__label")).groupBy("pos").agg(F.max("__label").alias("__label"))
-    joined = df.join(at, "pos", "left")
-    return joined.select(
-        *[
-            F.coalesce("__label", c).alias(c) if c == "sentiment" else F.when(F.col("__label").isNotNull(), 1.0).otherwise(F.col(c)).alias(c) if c == "confidence" else F.col(c)
-            for c in df.columns
-        ]
-    )
+    joined = _edited(df, edits, order, size)
+    changed = F.col("__label").isNotNull()
+    values = {"sentiment": F.coalesce("__label", "sentiment"), "confidence": F.when(changed, 1.0).otherwise(F.col("confidence"))}
+    return joined.select(*[values.get(c, F.col(c)).alias(c) for c in df.columns])
+
+
+def edit_summary(df: DataFrame, edits: DataFrame, size: int = PAGE_ROWS) -> DataFrame:
+    """n_edits, n_invalid, updated_count: edits, those that are ignored as invalid, and rows of df (pos) that change."""
+    counts = checked_edits(edits).agg(F.count(F.lit(1)).alias("n_edits"), F.count_if(~F.col("valid")).alias("n_invalid"))
+    updated = _edited(df.select("pos"), edits, None, size).agg(F.count("__label").alias("updated_count"))
+    return counts.join(F.broadcast(updated))
 
 
 def learned_keywords(df: DataFrame, text: str, label: str, min_count: int = 2) -> DataFrame:

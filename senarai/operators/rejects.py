@@ -4,8 +4,13 @@ Workers hand every batch of records to DuckDB's CSV reader with reject tables. E
 a first field, so a rejected line names its record, whatever line breaks its quoted fields hold, and with a last field,
 as the reader would overlook an empty field too many at the end of a line. One open quote would
 make the reader swallow the records after it; therefore the quoting of each record is checked first, by one regular
-expression, and only well-quoted records go to the reader, which finds wrong field counts and failing casts. What the
-reader's casts allow beyond a plain decimal number, and the allowed values, are checked in the same SQL statement.
+expression, and only well-quoted records go to the reader, whose reject table tells wrong field counts and failing casts
+of the typed columns. The allowed values are checked in the same SQL statement. What the reader's casts allow beyond a
+plain decimal number (`inf`, `1_0`), or refuse of one, is settled by the record itself. A record that comes back neither
+loaded nor rejected is an error of the program and raises.
+
+The reader takes files only, so the well-quoted records of a batch lie for the time of its reading in a temporary folder
+of the worker; nothing else refers to it, and a lost executor's batch is simply read again.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ LOADED = "line_id bigint, ulasan string, sentiment string, confidence double, re
 #: field(,field)* with a field quoted only if its first character is a quote, quotes inside doubled.
 _WELL_QUOTED = re.compile(r'(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*', re.S)
 _FIELD = re.compile(r'"(?:[^"]|"")*"|[^",]+', re.S)
-_PLAIN_NUMBER = r"[ \t]*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[ \t]*"
+_PLAIN_NUMBER = re.compile(r'(?s).*,("?)[ \t]*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)[ \t]*\1')
 #: Characters of one file for the reader, so that its memory has a bound however large a batch of records is.
 FILE_CHARS = 8_000_000
 _MAX_LINE = 1 << 30
@@ -57,29 +62,50 @@ def read_records(records: Sequence[str], sentiments: Sequence[str] = SENTIMENTS)
         try:
             loaded = con.execute(
                 f"""
-                SELECT i, ulasan, sentiment, TRY_CAST(trim(confidence, ' \t') AS DOUBLE) AS confidence,
+                SELECT i, ulasan, sentiment, confidence,
                        CASE WHEN regexp_full_match(ulasan, '[\\s\\p{{Z}}]*') OR sentiment NOT IN ({", ".join("?" for _ in sentiments)})
-                              OR NOT regexp_full_match(confidence, '{_PLAIN_NUMBER}')
-                              OR TRY_CAST(trim(confidence, ' \t') AS DOUBLE) NOT BETWEEN -1 AND 1 THEN 'value' END AS reason
+                              OR NOT coalesce(confidence BETWEEN -1 AND 1, false) THEN 'value' END AS reason
                 FROM read_csv(?, header = false, auto_detect = false, delim = ',', quote = '"', escape = '"', new_line = '\\n',
-                              columns = {{'i': 'BIGINT', 'ulasan': 'VARCHAR', 'sentiment': 'VARCHAR', 'confidence': 'VARCHAR', 'last': 'VARCHAR'}},
+                              columns = {{'i': 'BIGINT', 'ulasan': 'VARCHAR', 'sentiment': 'VARCHAR', 'confidence': 'DOUBLE', 'last': 'VARCHAR'}},
                               store_rejects = true, rejects_limit = 0, max_line_size = {min(_MAX_LINE, max(2_000_000, 2 * longest))},
-                              force_not_null = ['ulasan', 'sentiment', 'confidence'], strict_mode = true, parallel = false)
+                              force_not_null = ['ulasan', 'sentiment'], strict_mode = true, parallel = false)
                 """,
                 [*sentiments, path],
             ).fetchall()
             rejected = con.execute("SELECT csv_line, error_type FROM reject_errors").fetchall()
         finally:
             con.close()
-    result = {i: (u, s, c, reason) if reason is None else (None, None, None, reason) for i, u, s, c, reason in loaded}
+    result: dict[int, tuple] = {}
+    for i, u, s, c, reason in loaded:
+        value = reason is not None or not _PLAIN_NUMBER.fullmatch(records[i])
+        result[i] = (None, None, None, "value") if value else (u, s, c, None)
     for line, kind in rejected:
-        number = re.match(r"\d+", line or "")
-        if number:
-            reason = "columns" if "COLUMN" in str(kind).upper() else "value"
-            result[int(number[0])] = (None, None, None, reason)
+        if not (number := re.match(r"\d+", line or "")):
+            continue
+        i = int(number[0])
+        if "CAST" not in str(kind).upper():
+            result[i] = (None, None, None, "columns")
+        elif result.get(i, (None,) * 4)[3] != "columns":
+            result[i] = _refused_cast(records[i], sentiments)
+    if len(result) != len(records):
+        raise RuntimeError(f"{len(records) - len(result)} records came back neither loaded nor rejected")
     return result
 
 
+def _refused_cast(record: str, sentiments: Sequence[str]) -> tuple:
+    """The fields of a well-quoted record whose cast failed: loaded after all if its number is a plain decimal one."""
+    number = _PLAIN_NUMBER.fullmatch(record)
+    fields = [f[1:-1].replace('""', '"') if f[:1] == '"' else f for f in _split(record)]
+    if number and len(fields) == 3 and not re.fullmatch(r"\s*", fields[0]) and fields[1] in sentiments and -1 <= float(number[2]) <= 1:
+        return fields[0], fields[1], float(number[2]), None
+    return None, None, None, "value" if len(fields) == 3 else "columns"
+
+
+def _split(record: str) -> list[str]:
+    """The raw fields of a well-quoted record."""
+    return [m[0].removeprefix(",") for m in re.finditer(r'(?:^|,)(?:"(?:[^"]|"")*"|[^",]*)', record)]
+
+
 def classify_lines(lines: DataFrame, key: str, line: str, sentiments: Sequence[str] = SENTIMENTS) -> DataFrame:
     """line_id, ulasan, sentiment, confidence, reason for every record: the typed fields of a valid one (reason null),
     else the first reason that holds, of quoting, columns and value.
@@ -105,7 +131,7 @@ def classify_lines(lines: DataFrame, key: str, line: str, sentiments: Sequence[s
             for part in files:
                 read = read_records([texts[i] for i in part], sentiments) if part else {}
                 for k, i in enumerate(part):
-                    rows[i] = read.get(k, (None, None, None, "columns"))
+                    rows[i] = read[k]
             columns = list(zip(*rows)) if rows else [(), (), (), ()]
             kinds = (pa.string(), pa.string(), pa.float64(), pa.string())
             yield pa.RecordBatch.from_arrays(

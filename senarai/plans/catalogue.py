@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +11,14 @@ from ..functions import sentiment
 from ..functions import text as T
 from ..functions.lexicons import LABELS
 from ..operators import evaluate, features, labelling, model, preprocess, rejects
-from ..session import cut_lineage, ensure_checkpoint_dir
+from ..session import cut_lineage, shared_place
+from ..sources import files, schema
 from ..sources.tables import spread, table
 from ..streaming import reviews
 
 Query = Callable[[SparkSession, str], DataFrame]
 SAMPLE_ROWS = 500
+RULED_TABLES = ("raw_reviews", "doc_example", "labelled", "predictions", "upload_lines", "documents", "benchmark_items", "customer", "events")
 
 
 def _reviews(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,7 +74,8 @@ def distribution_bars(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def analyze_service(spark: SparkSession, folder: str) -> DataFrame:
-    return labelling.analyze(_reviews(spark, folder), "ulasan", ("row_id",))
+    out = labelling.analyze(_reviews(spark, folder), "ulasan", ("row_id",))
+    return out.select("row_id", "original_text", "translated_text", "scores.*", "label")
 
 
 # preprocessing
@@ -136,6 +138,19 @@ def bulk_edit(spark: SparkSession, folder: str) -> DataFrame:
     return labelling.bulk_edit(rows, edits).select("row_id", "sentiment", "confidence")
 
 
+def edit_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Of edits of every row whose id divides by 50, some of which name an unknown label, a wrong place or one row twice."""
+    rows = _labelled_pages(spark, folder)
+    total = rows.count()
+    at = rows.where(F.col("row_id") % 50 == 0).select((F.floor(F.col("pos") / 100) + 1).alias("page"), (F.col("pos") % 100).alias("row"), "row_id")
+    odd = F.col("row_id") % 150 == 0
+    edits = at.select("page", "row", F.when(odd, "bagus").otherwise("positif").alias("label"))
+    edits = edits.unionByName(at.where(~odd).select("page", "row", F.lit("netral").alias("label")))
+    edits = edits.unionByName(at.where(odd).select((F.col("page") - 100_000).alias("page"), "row", F.lit("netral").alias("label")))
+    edits = edits.unionByName(at.where(odd).select((F.col("page") + F.lit(total)).alias("page"), "row", F.lit("netral").alias("label")))
+    return labelling.edit_summary(rows, edits)
+
+
 def learned_keywords(spark: SparkSession, folder: str) -> DataFrame:
     return labelling.learned_keywords(table(spark, folder, "labelled"), "raw", "sentiment")
 
@@ -303,13 +318,102 @@ def cosine_knn(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("row_id", "predicted_label", _r6("confidence"))
 
 
+# sources, sinks, columns
+
+
+def _written(spark: SparkSession, write, *rows: DataFrame) -> str:
+    place = shared_place(spark, "sink")
+    write(*rows, place)
+    return place
+
+
+def _source_file(spark: SparkSession, folder: str) -> str:
+    """The reviews as files with a header, in the order of their ids, some names and cells with blanks around them."""
+    rows = table(spark, folder, "raw_reviews").select("row_id", F.col("ulasan").alias(" ulasan "), F.concat(F.lit("  "), "app_id", F.lit(" ")).alias("app_id"), "source")
+    return _written(spark, files.write_csv, rows.orderBy("row_id"))
+
+
+def csv_scan(spark: SparkSession, folder: str) -> DataFrame:
+    rows = files.read_csv(spark, _source_file(spark, folder))
+    return rows.select("row_id", F.col("` ulasan `").alias("ulasan"), "app_id", "source")
+
+
+def csv_scan_trimmed(spark: SparkSession, folder: str) -> DataFrame:
+    return files.read_csv(spark, _source_file(spark, folder), trim=True).select("row_id", "ulasan", "app_id", "source")
+
+
+def csv_preview(spark: SparkSession, folder: str) -> DataFrame:
+    """The first rows of the file, as many as the classifier's preview shows."""
+    return files.read_csv(spark, _source_file(spark, folder), limit=files.PREVIEW_ROWS["classification"]).select("row_id", "app_id")
+
+
+def result_store(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled rows stored as JSON and loaded again."""
+    rows = table(spark, folder, "labelled").select("row_id", "raw", "sentiment", "confidence")
+    return files.read_results(spark, _written(spark, lambda df, path: files.write_results(df, path, "json"), rows), "json").select(*rows.columns)
+
+
+def result_removal(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether a stored result is removed, and whether it is still there to be removed again."""
+    place = _written(spark, files.write_results, table(spark, folder, "predictions"))
+    removed = [files.remove_results(spark, place) for _ in range(2)]
+    return spark.range(1).select(F.lit(removed[0]).alias("removed"), F.lit(removed[1]).alias("removed_again"))
+
+
+def sink_preprocessed(spark: SparkSession, folder: str) -> DataFrame:
+    return files.read_csv(spark, _written(spark, files.write_preprocessed, preprocess_labelled(spark, folder)))
+
+
+def sink_labelled(spark: SparkSession, folder: str) -> DataFrame:
+    rows = labelling.auto_label(_reviews(spark, folder), "ulasan")
+    back = files.read_csv(spark, _written(spark, files.write_labelled, rows))
+    return back.select("raw", "sentiment", F.col("confidence").cast("double").alias("confidence")).select("raw", "sentiment", _r6("confidence"))
+
+
+def sink_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    back = files.read_csv(spark, _written(spark, files.write_predictions, table(spark, folder, "predictions")))
+    number = F.when(F.col("confidence") != "", F.col("confidence").cast("double"))
+    return back.select("text", "actual_label", "predicted_label", number.alias("confidence"))
+
+
+def sink_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of the written evaluation report, in the order of the file."""
+    out = evaluation_report(spark, folder)
+    place = _written(spark, files.write_report, out.select("section", "line", F.split("cells", ",").alias("cells")))
+    lines = spark.read.text(place).select(F.monotonically_increasing_id().alias("line"), "value")
+    return lines.select("line", F.replace(F.col("value"), F.lit('"'), F.lit("")).alias("value"))
+
+
+def column_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """What the column rules make of each table: one row a table."""
+    rows = []
+    for name in RULED_TABLES:
+        df = table(spark, folder, name)
+        c = df.columns
+        rows.append((
+            name, ",".join(schema.drop_by_keyword(df).columns), schema.exact_text_column(c), schema.exact_text_column(c, schema.LABELLING_TEXT),
+            schema.containing_text_column(c), schema.containing_label_column(c), schema.find_by_column(c, ("text", "raw", "sentiment", "label")),
+            schema.find_by_name(c, ("text", "raw", "sentiment", "label")), schema.is_labelled(c), schema.missing(c) == [], *schema.review_columns(c),
+        ))
+    names = ("kept", "preprocess_text", "labelling_text", "classifier_text", "classifier_label", "by_column", "by_name")
+    kinds = ", ".join(f"{n} string" for n in ("table_name", *names))
+    return spark.createDataFrame(rows, f"{kinds}, is_labelled boolean, is_complete boolean, review_label string, review_text string")
+
+
+def file_names(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "preprocessing_files").select("id", T.base_name(F.col("path")).alias("name"))
+
+
+def first_seen_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return features.first_seen_labels(_training(spark, folder), "label", "row_id")
+
+
 # streams
 
 
 def stream_sentiment(spark: SparkSession, folder: str) -> DataFrame:
     """The labels of sentiment_label, by a stream over the table's files."""
-    ensure_checkpoint_dir(spark)
-    place = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    place = shared_place(spark, "stream")
     stream = reviews.read_reviews(spark, f"{folder}/raw_reviews.parquet*", table(spark, folder, "raw_reviews"))
     labelled = reviews.label_stream(stream, "ulasan", ("row_id",)).select("row_id", "sentiment", _r6("confidence"))
     reviews.drain(labelled, f"{place}/out", f"{place}/state")
@@ -343,6 +447,7 @@ def queries() -> dict[str, Query]:
         document_frequency, smoothed_idf, tfidf_vectors, idf_stats, top_terms, top_vocabulary, first_vocabulary, training_summary,
         label_histogram, sentiment_filter, svm_metrics, svm_summary, stored_accuracy, stratified_sample, class_metrics,
         macro_metrics, confusion_matrix, confusion_metrics, compare_methods, best_method, evaluation_report, svm_predict,
-        cosine_knn, stream_sentiment, p6_found, p6_loaded, p6_report,
+        cosine_knn, edit_summary, csv_scan, csv_scan_trimmed, csv_preview, result_store, result_removal, sink_preprocessed,
+        sink_labelled, sink_predictions, sink_report, column_rules, file_names, first_seen_labels, stream_sentiment, p6_found, p6_loaded, p6_report,
     )
     return {f.__name__: f for f in named} | {name: _stage(column) for name, column in stages.items()}

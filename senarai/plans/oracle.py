@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from ..functions import lexicons as L
+from ..sources import schema as S
 
 SAMPLE_ROWS = 500
+RULED_TABLES = ("raw_reviews", "doc_example", "labelled", "predictions", "upload_lines", "documents", "benchmark_items", "customer", "events")
 _W = r"\p{L}\p{N}_"
 _S = r"\s\x0b\x{85}\p{Z}"
 _TRIM = "' ' || chr(9) || chr(10) || chr(13) || chr(11)"
@@ -267,7 +269,66 @@ def oracle_sql() -> dict[str, str]:
             best AS (SELECT row_id, label, vote / sum(vote) OVER (PARTITION BY row_id) AS c, row_number() OVER (PARTITION BY row_id ORDER BY round(vote, 9) DESC, label) AS rn FROM votes)
             SELECT row_id, coalesce(label, 'netral') AS predicted_label, round(coalesce(c, 0), 6) + 0.0 AS confidence FROM (SELECT DISTINCT row_id FROM te) LEFT JOIN (SELECT * FROM best WHERE rn = 1) USING (row_id)""",
         "stream_sentiment": f"SELECT row_id, sentiment, round(confidence, 6) + 0.0 AS confidence FROM {auto}",
-    } | _p6()
+    } | _sources() | _p6()
+
+
+def _strict(t: str) -> str:
+    """Label of a text in t whose phrases are matched as whole words."""
+    pad = lambda words: [f" {w} " for w in words]
+    total = _sum("w", {v: pad(p) for v, p in L.VALENCES.items()})
+    factor = f"CASE WHEN {_any('w', pad(L.INTENSIFIERS))} THEN 1.293 ELSE 1.0 END::DOUBLE * CASE WHEN {_any('w', pad(L.NEGATIONS))} THEN -0.74 ELSE 1.0 END::DOUBLE"
+    return f"""SELECT row_id, CASE WHEN s / sqrt(s * s + 15) >= 0.05 THEN 'positif' WHEN s / sqrt(s * s + 15) <= -0.05 THEN 'negatif' ELSE 'netral' END AS sentiment
+      FROM (SELECT row_id, ({total}) * {factor} AS s FROM (SELECT row_id, ' ' || {_rx(f"lower({t})", "[^\\p{L}\\p{N}-]+")} || ' ' AS w FROM raw_reviews WHERE {t} IS NOT NULL))"""
+
+
+def _analysis() -> str:
+    text = _trim("coalesce(ulasan, '')")
+    count = lambda sign: " + ".join(f"len(list_filter({_list(p)}, lambda k: contains(t, k)))" for v, p in L.VALENCES.items() if v * sign > 0)
+    factor = f"CASE WHEN {_any('t', L.INTENSIFIERS)} THEN 1.293 ELSE 1.0 END::DOUBLE * CASE WHEN {_any('t', L.NEGATIONS)} THEN -0.74 ELSE 1.0 END::DOUBLE"
+    return f"""SELECT row_id, o AS original_text, o AS translated_text, round(n::DOUBLE / w, 3) AS neg, round((w - p - n)::DOUBLE / w, 3) AS neu, round(p::DOUBLE / w, 3) AS pos, round(c, 4) + 0.0 AS compound,
+             CASE WHEN c > 0.05 THEN 'positive' WHEN c < -0.05 THEN 'negative' ELSE 'neutral' END AS label
+      FROM (SELECT *, greatest(len(string_split_regex(t, {_str(f"[{_S}]+")})), p + n, 1) AS w, s / sqrt(s * s + 15) AS c
+        FROM (SELECT *, {count(1)} AS p, {count(-1)} AS n, (({_sum("t", L.VALENCES)}) + ({_sum("t", L.SCORE_ONLY)})) * {factor} AS s
+          FROM (SELECT *, lower(o) AS t FROM (SELECT row_id, CASE WHEN {text} = '' THEN 'Saya merasa netral tentang topik ini.' ELSE {text} END AS o FROM raw_reviews))))"""
+
+
+def _column_rules(tables: tuple[str, ...]) -> str:
+    one = lambda cond, by="ordinal_position": f"arg_min(column_name, {by}) FILTER ({cond})"
+    has = lambda names: " OR ".join(f"contains(low, {_str(k)})" for k in names)
+    order = lambda names: f"list_position({_list(names)}, lower(column_name))"
+    at = lambda k: f"max(column_name) FILTER (ordinal_position = {k})"
+    last, wanted, review = "arg_max(column_name, ordinal_position)", ("text", "raw", "sentiment", "label"), ("raw", "text", "tweet", "content")
+    by_name = lambda names: one(f"lower(column_name) IN {_in(names)}", order(names))
+    return f"""SELECT table_name, string_agg(column_name, ',' ORDER BY ordinal_position) FILTER (NOT ({has(S.DROP_KEYWORDS)})) AS kept,
+        coalesce({one(f"low IN {_in(S.PREPROCESS_TEXT)}")}, {last}) AS preprocess_text, coalesce({one(f"low IN {_in(S.LABELLING_TEXT)}")}, {last}) AS labelling_text,
+        coalesce({one(has(S.CLASSIFIER_TEXT))}, {at(1)}) AS classifier_text, coalesce({one(has(S.CLASSIFIER_LABEL))}, {at(2)}) AS classifier_label,
+        {one(f"low IN {_in(wanted)}")} AS by_column, {by_name(wanted)} AS by_name,
+        bool_or(low = 'raw') AND bool_or(low IN ('sentiment', 'label')) AS is_labelled, count(*) FILTER (low IN {_in(S.EVALUATION_REQUIRED)}) = 4 AS is_complete,
+        {by_name(("sentiment", "label"))} AS review_label, coalesce({by_name(review)}, {at(1)}) AS review_text
+      FROM (SELECT *, lower(trim(column_name)) AS low FROM information_schema.columns WHERE table_name IN {_in(tables)}) GROUP BY table_name"""
+
+
+def _sources() -> dict[str, str]:
+    cells = lambda *names: ", ".join(f"coalesce({n}, '') AS {n}" for n in names)
+    preprocessed = _keep_first(_stages("(SELECT row_id, raw AS txt, coalesce(sentiment, 'netral') AS sentiment FROM labelled)", "row_id", "txt", "sentiment"), "stemming AS preprocessed, sentiment")
+    return {
+        "strict_label": _strict("ulasan"),
+        "analyze_service": _analysis(),
+        "csv_scan": f"SELECT row_id::VARCHAR AS row_id, {cells('ulasan')}, coalesce('  ' || app_id || ' ', '') AS app_id, {cells('source')} FROM raw_reviews",
+        "csv_scan_trimmed": f"SELECT row_id::VARCHAR AS row_id, {_trim("coalesce(ulasan, '')")} AS ulasan, {_trim("coalesce(app_id, '')")} AS app_id, {_trim("coalesce(source, '')")} AS source FROM raw_reviews",
+        "csv_preview": "SELECT row_id::VARCHAR AS row_id, coalesce('  ' || app_id || ' ', '') AS app_id FROM raw_reviews ORDER BY raw_reviews.row_id LIMIT 100",
+        "result_store": "SELECT row_id, raw, sentiment, confidence FROM labelled",
+        "result_removal": "SELECT true AS removed, false AS removed_again",
+        "sink_preprocessed": preprocessed,
+        "sink_labelled": f"SELECT raw, sentiment, round(confidence, 6) + 0.0 AS confidence FROM {_labelled(*_REVIEWS)}",
+        "sink_predictions": f"SELECT {cells('text', 'actual_label', 'predicted_label')}, confidence FROM predictions",
+        "sink_report": f"SELECT row_number() OVER (ORDER BY section, line) - 1 AS line, cells AS value FROM ({_report()})",
+        "column_rules": _column_rules(RULED_TABLES),
+        "file_names": "SELECT id, split_part(path, '/', -1) AS name FROM preprocessing_files",
+        "first_seen_labels": f"SELECT {_synonym('sentiment')} AS label, min(row_id) AS first_seen FROM labelled WHERE split = 'train' AND raw IS NOT NULL AND sentiment IS NOT NULL GROUP BY 1",
+        "edit_summary": """SELECT 2 * count(*) + count(*) FILTER (odd) AS n_edits, 2 * count(*) FILTER (odd) AS n_invalid, count(*) FILTER (NOT odd) AS updated_count
+            FROM (SELECT row_id % 150 = 0 AS odd FROM labelled WHERE raw IS NOT NULL AND row_id % 50 = 0)""",
+    }
 
 
 def _p6() -> dict[str, str]:

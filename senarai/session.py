@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -26,14 +27,25 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in spark.checkpoint.dir; only where it is unset (tests) fall back to a private one."""
+    """Use the folder named in spark.checkpoint.dir; only where it is unset and all executors share this machine (tests) a
+    private one. On a cluster without a shared folder this raises, as executors couldn't read each other's files."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    folder = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="senarai-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="senarai-checkpoint-")
     context.setCheckpointDir(folder)
 
 
+def shared_place(spark: SparkSession, name: str) -> str:
+    """A path for a written table in the shared checkpoint folder, another one at each call."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder, so a lost executor costs a re-read and not a recomputation."""
     ensure_checkpoint_dir(df.sparkSession)

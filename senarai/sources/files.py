@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +11,8 @@ from .schema import SchemaError, _quoted
 
 MAX_NAME = 50
 UPLOAD_SUFFIXES = (".csv", ".txt")
+#: Rows that a preview shows, by what it is of.
+PREVIEW_ROWS = {"preprocess": 2_000, "labelling": 2_000, "classification": 100, "evaluation": 100, "review": 100}
 
 
 def check_upload(path: str, method_name: str | None = None) -> None:
@@ -21,15 +24,23 @@ def check_upload(path: str, method_name: str | None = None) -> None:
 
 
 def read_csv(spark: SparkSession, path: str, limit: int | None = None, trim: bool = False, multiline: bool = True) -> DataFrame:
-    """All columns as strings, empty and missing cells as ''. trim: blanks around cells and names are cut.
+    """All columns as strings, empty and missing cells as ''. trim: blanks around cells and names are cut. limit: the first
+    rows of the file, or of a folder's files in the order of their names.
 
     Quotes inside quoted fields are doubled. multiline=False lets one large file be split over tasks where no field
-    holds a line break. Blank lines are dropped, surplus cells cut, a byte-order mark is removed by the reader.
+    holds a line break. Blank lines are dropped, surplus cells cut, a byte-order mark is removed by the reader. A file that
+    isn't there raises SchemaError.
     """
-    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=multiline, escape='"', quote='"')
+    try:
+        df = spark.read.csv(path, header=True, inferSchema=False, multiLine=multiline, escape='"', quote='"')
+    except AnalysisException as reason:
+        raise SchemaError(f"can't read {path}: {reason.getCondition()}") from reason
+    if limit is not None:
+        order = ("__file", "__at")
+        placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__at"))
+        df = placed.orderBy(*order).limit(limit).drop(*order)
     cell = lambda c: F.btrim(F.col(c), F.lit(TRIMMED)) if trim else F.col(c)
-    df = df.select(*[F.coalesce(cell(_quoted(c)), F.lit("")).alias(c.strip() if trim else c) for c in df.columns])
-    return df.limit(limit) if limit is not None else df
+    return df.select(*[F.coalesce(cell(_quoted(c)), F.lit("")).alias(c.strip() if trim else c) for c in df.columns])
 
 
 def with_ordinal(df: DataFrame, name: str = "ord") -> DataFrame:
@@ -41,7 +52,7 @@ def write_csv(df: DataFrame, path: str, *columns: str) -> None:
     """A folder of part files with a header; nulls are written as empty cells."""
     chosen = columns or tuple(df.columns)
     df.select(*[F.coalesce(F.col(_quoted(c)).cast("string"), F.lit("")).alias(c) for c in chosen]).write.mode("overwrite").csv(
-        path, header=True, escape='"', emptyValue=""
+        path, header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
 
 

@@ -69,10 +69,14 @@ def is_labelled(columns: Sequence[str]) -> bool:
     return "raw" in lowered and bool(lowered & {"sentiment", "label"})
 
 
+def missing(columns: Sequence[str], needed: Sequence[str] = EVALUATION_REQUIRED) -> list[str]:
+    """The needed columns that a table lacks, case ignored."""
+    return [n for n in needed if n not in {c.lower() for c in columns}]
+
+
 def require(columns: Sequence[str], needed: Sequence[str] = EVALUATION_REQUIRED) -> None:
-    missing = [n for n in needed if n not in {c.lower() for c in columns}]
-    if missing:
-        raise SchemaError(f"missing columns: {', '.join(missing)}")
+    if lacking := missing(columns, needed):
+        raise SchemaError(f"missing columns: {', '.join(lacking)}")
 
 
 def review_columns(columns: Sequence[str]) -> tuple[str | None, str | None]:
@@ -80,3 +84,17 @@ def review_columns(columns: Sequence[str]) -> tuple[str | None, str | None]:
     sentiment = find_by_name(columns, ("sentiment", "label"))
     text = find_by_name(columns, ("raw", "text", "tweet", "content"))
     return sentiment, text or (columns[0] if columns else None)
+
+
+def usable(df: DataFrame, text: str | None, label: str | None = None) -> DataFrame:
+    """df, if it can be worked on: SchemaError for a table without columns, without rows, without the text column, or, where
+    a label column is named, without a row that has both."""
+    if not df.columns:
+        raise SchemaError("the header is empty")
+    if text is None or text not in df.columns:
+        raise SchemaError("there is no text column")
+    if df.isEmpty():
+        raise SchemaError("there are no rows")
+    if label is not None and (label not in df.columns or df.where(f"coalesce({_quoted(text)}, '') <> '' AND coalesce({_quoted(label)}, '') <> ''").isEmpty()):
+        raise SchemaError("there are no labelled rows")
+    return df
