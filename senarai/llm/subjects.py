@@ -14,7 +14,7 @@ end when no hub changes. A document keeps the subjects of all its sentences, non
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -115,78 +115,121 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy(zero_copy_only=False))
 
 
-def with_sentence_masks(graph: DataFrame, hubs: DataFrame, subjects: int) -> DataFrame:
-    """graph with masks ARRAY<BIGINT>: the subject of each sentence by its verified hubs (f, mask), several if equally many
-    speak for each. The hubs are sent in blocks of at most BLOCK_HUBS, each applied where the documents lie and its votes
+def _votes(batch: pa.RecordBatch, known: np.ndarray, mask: np.ndarray, subjects: int) -> np.ndarray:
+    """How many of the hubs (known, mask) of each sentence of the batch speak for each subject, and those counted before."""
+    phrases, _ = _flat(batch.column("phrases"))
+    sizes, _ = _flat(batch.column("sizes"))
+    votes = np.zeros((len(sizes), subjects), dtype=np.int64)
+    if "votes" in batch.schema.names:
+        votes += _flat(batch.column("votes"))[0].reshape(-1, subjects)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, phrases), len(known) - 1)
+        hits = np.flatnonzero(known[at] == phrases)
+        sentence, hit = np.repeat(np.arange(len(sizes)), sizes)[hits], mask[at[hits]]
+        for i in range(subjects):
+            votes[:, i] += np.bincount(sentence[hit >> i & 1 == 1], minlength=len(sizes))
+    return votes
+
+
+def by_hubs(graph: DataFrame, hubs: DataFrame, subjects: int, finish: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], out: str) -> DataFrame:
+    """What finish makes of each batch of graph and the masks of its sentences: the subject of each by its verified hubs
+    (f, mask), several if equally many speak for each.
+
+    The hubs are sent in blocks of about half of BLOCK_HUBS, 4 x BLOCK_HUBS at most. Each block is applied where the documents lie and its votes are
     added to those of the blocks before; there is no shuffle, however many there are."""
-    blocks = -(-hubs.count() // BLOCK_HUBS)
-    graph = graph.withColumns({"votes": F.array_repeat(F.lit(0).cast("bigint"), F.size("sizes") * subjects), "masks": F.transform("sizes", lambda _: F.lit(0).cast("bigint"))})
-    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in graph.schema)
-    # twice as many parts as needed on average, so that none outgrows the block
-    for b in range(2 * blocks if blocks > 1 else blocks):
-        part = hubs if blocks == 1 else hubs.where(F.pmod(F.xxhash64("f"), F.lit(2 * blocks)) == b)
-        rows = part.orderBy("f").limit(BLOCK_HUBS + 1).collect()
-        if len(rows) > BLOCK_HUBS:
+    spark, blocks = graph.sparkSession, max(-(-hubs.count() // BLOCK_HUBS), 1)
+    parts = 2 * blocks if blocks > 1 else 1
+    for b in range(parts):
+        part = hubs if parts == 1 else hubs.where(F.pmod(F.xxhash64("f"), F.lit(parts)) == b)
+        rows = part.orderBy("f").limit(4 * BLOCK_HUBS + 1).collect()
+        if len(rows) > 4 * BLOCK_HUBS:
             raise ValueError("a block of hubs is too large")
-        shared = graph.sparkSession.sparkContext.broadcast((np.array([r.f for r in rows], np.int64), np.array([r.mask for r in rows], np.int64)))
+        shared = spark.sparkContext.broadcast((np.array([r.f for r in rows], np.int64), np.array([r.mask for r in rows], np.int64)))
+
+        def add(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                votes = _votes(batch, *shared.value, subjects)
+                _, sentences = _flat(batch.column("sizes"))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sentences * subjects)]), pa.int32()), pa.array(votes.ravel(), pa.int64()))
+                names = [n for n in batch.schema.names if n != "votes"]
+                yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], lists], names=[*names, "votes"])
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known, mask = shared.value
+        def end(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                phrases, _ = _flat(batch.column("phrases"))
-                sizes, sentences = _flat(batch.column("sizes"))
-                before, per_doc = _flat(batch.column("votes"))
-                at = np.minimum(np.searchsorted(known, phrases), max(len(known) - 1, 0))
-                hit = np.where(known[at] == phrases, mask[at], 0) if len(known) else np.zeros(len(phrases), np.int64)
-                votes = before.reshape(-1, subjects).copy()
-                hits = np.flatnonzero(hit)
-                sentence, hit = np.repeat(np.arange(len(sizes)), sizes)[hits], hit[hits]
-                for i in range(subjects):
-                    votes[:, i] += np.bincount(sentence[hit >> i & 1 == 1], minlength=len(sizes))
+                votes = _votes(batch, *shared.value, subjects)
                 most = (votes == votes.max(axis=1, keepdims=True)) & (votes > 0)
-                masks = (most.astype(np.int64) << np.arange(subjects)).sum(axis=1)
-                lists = lambda values, n: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(values, pa.int64()))
-                found = {"votes": lists(votes.ravel(), per_doc), "masks": lists(masks, sentences)}
-                columns = [found.get(n, batch.column(n)) for n in batch.schema.names]
-                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+                yield finish(batch, (most.astype(np.int64) << np.arange(subjects)).sum(axis=1))
+
+        if b == parts - 1:
+            return graph.mapInArrow(end, out)
+        kinds = [f"{f.name} {f.dataType.simpleString()}" for f in graph.schema if f.name != "votes"]
+        graph = graph.mapInArrow(add, ", ".join([*kinds, "votes array<bigint>"]))
+    raise AssertionError
+
+
+def _counted(phrases: np.ndarray, mask: np.ndarray, subjects: int) -> pa.RecordBatch:
+    """f, n, k0..: how many of the phrases are f, and how many of these have each subject in their mask."""
+    f, n = np.unique(phrases, return_counts=True)
+    sums = [n]
+    for i in range(subjects):
+        held, k = np.unique(phrases[mask >> i & 1 == 1], return_counts=True)
+        sums.append(np.zeros(len(f), dtype=np.int64))
+        sums[-1][np.searchsorted(f, held)] = k
+    return pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), *[pa.array(x, pa.int64()) for x in sums]], names=_counts(subjects))
+
 
-        graph = graph.mapInArrow(run, out)
-    return graph.drop("votes")
+def _counts(subjects: int) -> list[str]:
+    return ["f", "n", *[f"k{i}" for i in range(subjects)]]
 
 
-def hub_counts(rows: DataFrame, subjects: int, clamped: bool) -> DataFrame:
-    """f, n, k0..: how many documents (clamped: seeds, by their hand labels) or sentences (by the subjects of the other
-    sentences of the document) hold each phrase, and how many of these have each subject; combined within each batch."""
-    names = ["f", "n", *[f"k{i}" for i in range(subjects)]]
+def seed_counts(seeds: DataFrame, subjects: int) -> DataFrame:
+    """f, n, k0.. of each phrase: how many seed documents hold it, and how many of these have each subject by their hand
+    labels; combined within each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             phrases, per_doc = _flat(batch.column("phrases"))
-            sizes, sentences = _flat(batch.column("sizes"))
-            if clamped:
-                doc = np.repeat(np.arange(len(per_doc)), per_doc)
-                by = np.lexsort((phrases, doc))
-                once = np.ones(len(by), dtype=bool)
-                once[1:] = (doc[by][1:] != doc[by][:-1]) | (phrases[by][1:] != phrases[by][:-1])
-                phrases, mask = phrases[by][once], batch.column("seed").to_numpy(zero_copy_only=False)[doc[by][once]]
-            else:
-                own, _ = _flat(batch.column("masks"))
-                doc = np.repeat(np.arange(len(sentences)), sentences)
-                other = np.zeros(len(own), dtype=np.int64)
-                for i in range(subjects):  # a subject of another sentence: had by two of them, or by one that isn't this
-                    has = own >> i & 1
-                    other |= (np.bincount(doc, weights=has, minlength=len(sentences)).astype(np.int64)[doc] - has > 0).astype(np.int64) << i
-                mask = np.repeat(other, sizes)
-                phrases, mask = phrases[mask != 0], mask[mask != 0]
-            f, n = np.unique(phrases, return_counts=True)
-            sums = [n]
-            for i in range(subjects):
-                held, k = np.unique(phrases[mask >> i & 1 == 1], return_counts=True)
-                sums.append(np.zeros(len(f), dtype=np.int64))
-                sums[-1][np.searchsorted(f, held)] = k
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), *[pa.array(x, pa.int64()) for x in sums]], names=names)
+            doc = np.repeat(np.arange(len(per_doc)), per_doc)
+            by = np.lexsort((phrases, doc))
+            doc, phrases = doc[by], phrases[by]
+            once = np.ones(len(by), dtype=bool)
+            once[1:] = (doc[1:] != doc[:-1]) | (phrases[1:] != phrases[:-1])
+            yield _counted(phrases[once], batch.column("seed").to_numpy(zero_copy_only=False)[doc[once]], subjects)
+
+    return seeds.select("phrases", "seed").mapInArrow(run, ", ".join(f"{c} bigint" for c in _counts(subjects)))
+
+
+def spread_counts(rows: DataFrame, hubs: DataFrame, subjects: int) -> DataFrame:
+    """f, n, k0.. of each phrase: how many sentences hold it whose document has subjects by its *other* sentences, and how
+    many of these have each subject; combined within each batch."""
+
+    def finish(batch: pa.RecordBatch, own: np.ndarray) -> pa.RecordBatch:
+        phrases, _ = _flat(batch.column("phrases"))
+        sizes, sentences = _flat(batch.column("sizes"))
+        doc = np.repeat(np.arange(len(sentences)), sentences)
+        other = np.zeros(len(own), dtype=np.int64)
+        for i in range(subjects):  # a subject of another sentence: had by two of them, or by one that isn't this
+            has = own >> i & 1
+            other |= (np.bincount(doc[has == 1], minlength=len(sentences))[doc] - has > 0).astype(np.int64) << i
+        mask = np.repeat(other, sizes)
+        return _counted(phrases[mask != 0], mask[mask != 0], subjects)
+
+    return by_hubs(rows.select("sizes", "phrases"), hubs, subjects, finish, ", ".join(f"{c} bigint" for c in _counts(subjects)))
+
+
+def document_masks(graph: DataFrame, hubs: DataFrame, subjects: int) -> DataFrame:
+    """doc_id, mask: the subjects of all sentences of a document, those of its hand labels where there are none."""
+
+    def finish(batch: pa.RecordBatch, own: np.ndarray) -> pa.RecordBatch:
+        _, sentences = _flat(batch.column("sizes"))
+        found, held = np.zeros(len(sentences), dtype=np.int64), sentences > 0
+        if held.any():
+            found[held] = np.bitwise_or.reduceat(own, np.concatenate([[0], np.cumsum(sentences[held])[:-1]]))
+        mask = np.where(found != 0, found, batch.column("seed").to_numpy(zero_copy_only=False))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(mask, pa.int64())], names=["doc_id", "mask"])
 
-    return rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
+    rows = graph.select("doc_id", F.coalesce("seed", F.lit(0).cast("bigint")).alias("seed"), "sizes", "phrases")
+    return by_hubs(rows, hubs, subjects, finish, "doc_id bigint, mask bigint").where("mask <> 0")
 
 
 def _bound(k: np.ndarray, n: np.ndarray, z: float) -> np.ndarray:
@@ -260,21 +303,19 @@ def propagate(
     need = [b + ROUND_LIFT * (1 - b) for b in base]
     zero = F.lit(0).cast("bigint")
     blank = {"n": "n0", **{f"k{i}": f"s{i}" for i in range(count)}}
-    seeded = hub_counts(clamped, count, True).groupBy("f").agg(*[F.sum(c).alias(s) for c, s in blank.items()])
+    seeded = seed_counts(clamped, count).groupBy("f").agg(*[F.sum(c).alias(s) for c, s in blank.items()])
     seeded = cut_lineage(seeded.select("f", *blank.values(), *[zero.alias(c) for c in blank]))
     # by the seeds alone first: nothing else has been seen, so nothing speaks against them
     hubs = cut_lineage(verified_hubs(seeded, need))
     state = None
     for _ in range(rounds):
-        spread = hub_counts(with_sentence_masks(free, hubs, count), count, False).select("f", *[zero.alias(s) for s in blank.values()], *blank)
+        spread = spread_counts(free, hubs, count).select("f", *[zero.alias(s) for s in blank.values()], *blank)
         hubs = cut_lineage(verified_hubs(seeded.unionByName(spread), need))
         now = tuple(hubs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("f", "mask").cast("decimal(38,0)"))).first())
         if now == state:
             break
         state = now
 
-    every = F.aggregate("masks", F.lit(0).cast("bigint"), lambda x, y: x.bitwiseOR(y))
-    found = with_sentence_masks(graph, hubs, count).select("doc_id", every.alias("found"), F.coalesce("seed", F.lit(0)).alias("seed"))
-    mask = F.when(F.col("found") != 0, F.col("found")).otherwise(F.col("seed"))
     names = F.array(*[F.when(F.shiftright("mask", i).bitwiseAND(F.lit(1)) == 1, F.lit(s)) for i, s in enumerate(subjects)])
-    return found.select("doc_id", mask.alias("mask")).where("mask <> 0").select("doc_id", F.explode(F.array_compact(names)).alias("subject")).distinct()
+    found = document_masks(graph, hubs, count)
+    return found.select("doc_id", F.explode(F.array_compact(names)).alias("subject")).distinct()

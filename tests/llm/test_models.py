@@ -144,6 +144,25 @@ def test_subjects(spark):
     assert subjects.propagate(df.limit(0), "doc_id", "text", lab, "doc_id", "subject", ["food", "sport"]).count() == 0
 
 
+def test_hubs_in_blocks_give_the_same(spark, monkeypatch):
+    docs = [(i, f"Hari ini {TOPICS[s]} enak nomor {i}. Semua {TOPICS[s]} lancar.") for i, s in enumerate(("food", "sport") * 30)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    lab = spark.createDataFrame([(i, ("food", "sport")[i % 2]) for i in range(20)], "doc_id bigint, subject string")
+    run = lambda: sorted(tuple(r) for r in subjects.propagate(df, "doc_id", "text", lab, "doc_id", "subject", ["food", "sport"]).collect())
+    whole = run()
+    monkeypatch.setattr(subjects, "BLOCK_HUBS", 4)
+    assert len(whole) == 60 and run() == whole
+
+
+def test_sentences_have_the_subject_of_most_hubs_and_held_out_ones_none(spark):
+    docs = [(i, f"Nilai {('ujian sekolah', 'pasar saham')[i % 2]} naik nomor {i}.") for i in range(80)] + [(900, "Nilai ujian sekolah."), (901, "Ujian sekolah titipan.")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    lab = spark.createDataFrame([(i, ("education", "finance")[i % 2]) for i in range(30)], "doc_id bigint, subject string")
+    held = spark.createDataFrame([("Awal. Ujian sekolah titipan! Akhir",), (None,)], "passage string")
+    got = {r.doc_id: r.subject for r in subjects.propagate(df, "doc_id", "text", lab, "doc_id", "subject", ["education", "finance"], held, "passage").collect()}
+    assert got[900] == "education" and 901 not in got and all(got[i] == ("education", "finance")[i % 2] for i in range(80))
+
+
 def test_phrases():
     assert subjects.phrases("Nasi goreng, 12 é") == {"nasi", "goreng", "nasi goreng", "é"}
     assert "登录" in subjects.phrases("登录页面在Jassa那边") and "jassa" in subjects.phrases("登录页面在Jassa那边")
