@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons, sentiment
@@ -70,13 +70,26 @@ def numbered(df: DataFrame, order: str) -> DataFrame:
     return ranged.withColumn("pos", (F.col("__within") + start).cast("bigint")).drop("__part", "__within")
 
 
-def page(df: DataFrame, number: int, total: int, size: int = PAGE_ROWS) -> DataFrame:
-    """Rows of page `number` (from 1) of a table with dense places `pos` and `total` rows."""
+def _checked_page(number: int, total: int, size: int) -> None:
     if number < 1 or number > max(1, -(-total // size)):
         raise ValueError(f"no page {number}")
+
+
+def page(df: DataFrame, number: int, total: int, size: int = PAGE_ROWS) -> DataFrame:
+    """Rows of page `number` (from 1) of a table with dense places `pos` and `total` rows."""
+    _checked_page(number, total, size)
     return df.where((F.col("pos") >= (number - 1) * size) & (F.col("pos") < number * size))
 
 
+def page_of(df: DataFrame, order: str, number: int, total: int, size: int = PAGE_ROWS) -> DataFrame:
+    """Rows of page `number` of a table of `total` rows by the unique column order, with `pos`: a top-k of the rows up to the
+    page's end, of which each task keeps no more; the table is neither sorted nor numbered as a whole."""
+    _checked_page(number, total, size)
+    first = (number - 1) * size
+    place = F.row_number().over(Window.orderBy(order)) + (first - 1)  # of one page only
+    return df.orderBy(order).offset(first).limit(size).withColumn("pos", place.cast("bigint"))
+
+
 def checked_edits(edits: DataFrame, labels: tuple[str, ...] = lexicons.LABELS) -> DataFrame:
     """edits (page, row, label, ...) with `valid`: a known label and a place that can be one, page from 1 and row from 0."""
     place = (F.col("page") >= 1) & (F.col("row") >= 0)

@@ -120,8 +120,8 @@ def _labelled_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def paginate(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _labelled_pages(spark, folder)
-    return labelling.page(rows, 2, rows.count()).select("row_id", "pos", (F.floor(F.col("pos") / labelling.PAGE_ROWS) + 1).alias("page"))
+    rows = table(spark, folder, "labelled").where("raw IS NOT NULL")
+    return labelling.page_of(rows.select("row_id"), "row_id", 2, rows.count()).select("row_id", "pos", (F.floor(F.col("pos") / labelling.PAGE_ROWS) + 1).alias("page"))
 
 
 def page_summary(spark: SparkSession, folder: str) -> DataFrame:

@@ -48,8 +48,11 @@ def test_pages_and_edits(spark):
     rows = labelling.numbered(df, "id")
     assert sorted((r.id, r.pos) for r in rows.collect()) == [(i * 3, i) for i in range(250)]
     assert [r.pos for r in labelling.page(rows, 3, 250).orderBy("pos").collect()] == list(range(200, 250))
-    with pytest.raises(ValueError):
-        labelling.page(rows, 4, 250)
+    assert sorted((r.id, r.pos) for r in labelling.page_of(df, "id", 3, 250).collect()) == [(i * 3, i) for i in range(200, 250)]
+    for page in (lambda n: labelling.page(rows, n, 250), lambda n: labelling.page_of(df, "id", n, 250)):
+        for n in (0, 4):
+            with pytest.raises(ValueError):
+                page(n)
     edits = spark.createDataFrame([(1, 0, "positif"), (2, 5, "negatif"), (9, 9, "positif")], "page int, row int, label string")
     edited = {r.pos: (r.sentiment, r.confidence) for r in labelling.bulk_edit(rows, edits).collect()}
     assert edited[0] == ("positif", 1.0) and edited[105] == ("negatif", 1.0) and edited[1] == ("netral", 0.1) and len(edited) == 250

@@ -83,3 +83,12 @@ def test_tables_have_no_repeats():
     assert len(set(lexicons.STOPWORDS)) == len(lexicons.STOPWORDS)
     phrases = [p for ps in lexicons.VALENCES.values() for p in ps]
     assert len(set(phrases)) == len(phrases)
+
+
+def test_word_tables_hold_what_they_must():
+    """Sizes and a few entries of each table, so that a lost or changed word is seen; the SQL shares the tables."""
+    sizes = (len(lexicons.SLANG), sum(map(len, lexicons.VALENCES.values())), len(lexicons.INTENSIFIERS), len(lexicons.NEGATIONS))
+    assert sizes == (138, 165, 10, 16)
+    assert {lexicons.SLANG[k] for k in ("gak", "bgt")} == {"tidak", "banget"}
+    assert "bagus" in lexicons.VALENCES[0.20] and "gagal" in lexicons.VALENCES[-0.20] and "tidak bagus" in lexicons.VALENCES[-0.15]
+    assert len({p for ps in lexicons.VALENCES.values() for p in ps}) == 165 and {"yang", "dan", "di"} <= set(lexicons.STOPWORDS)
