@@ -55,14 +55,9 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return ridf.term_scores(table(spark, folder, "labelled"), "row_id", "raw")
-
-
-def p2_all_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """The scores of every term of every record of both tables; p2_scores has those of labelled alone."""
     return _by_source(
         {
-            "labelled": p2_scores(spark, folder),
+            "labelled": ridf.term_scores(table(spark, folder, "labelled"), "row_id", "raw"),
             "documents": ridf.term_scores(table(spark, folder, "documents"), "doc_id", "text"),
         }
     )
@@ -172,4 +167,4 @@ def p10_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_scores, p2_all_scores, p3_found, p3_copies, p4_found, p4_segments, p5_found, p5_report, p5_counts, p7_found, p7_terms, p8_ids, p9_found, p9_spans, p10_found, p10_mix)}
+    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_scores, p3_found, p3_copies, p4_found, p4_segments, p5_found, p5_report, p5_counts, p7_found, p7_terms, p8_ids, p9_found, p9_spans, p10_found, p10_mix)}

@@ -3,7 +3,9 @@
 Level 1 puts every row into a class of cheap invariants of its letters and digits: the length of name and text and how
 often a few letters occur in the text. Neither case, punctuation, spaces nor the order of labelled fields changes them.
 Classes are counted in a table of 2^filter_bits counters, reduced to one bit each ("several rows or none"), which is
-broadcast: at most 2^(filter_bits - 6) rows of a BIGINT, whatever the size of the data.
+broadcast. The table has about FILTER_SHARE counters a row, so few rows share one by chance, but never more than
+2^MAX_FILTER_BITS: 2^(MAX_FILTER_BITS - 6) rows of a BIGINT, some 60 MB. That holds for a few hundred million rows; of
+larger tables more and more rows pass by chance, until level 2 sees them all and only its 24 bytes a row are shuffled.
 Level 2 computes the costly key, parsing and ordering fields and digesting everything, only for rows whose bit is set.
 A shared counter merely lets a single row through to level 2; no copy is ever lost.
 No text is shuffled, only a row id and a 16-byte digest.
@@ -21,7 +23,7 @@ from ..session import cut_lineage
 
 FIELD_LABELS = ("kelebihan", "kekurangan", "saran", "versi", "perangkat")
 HISTOGRAM_LETTERS = "aienktsrul"
-FILTER_BITS = 23
+FILTER_SHARE, MIN_FILTER_BITS, MAX_FILTER_BITS = 8, 16, 28
 
 
 def stripped(text: Column) -> Column:
@@ -44,9 +46,11 @@ def ordered_fields(content: Column, labels: Sequence[str]) -> Column:
 
 
 def form_digests(
-    df: DataFrame, key: str, name: str, text: str, labels: Sequence[str] = (), filter_bits: int = FILTER_BITS
+    df: DataFrame, key: str, name: str, text: str, labels: Sequence[str] = (), filter_bits: int | None = None
 ) -> DataFrame:
     """row_id BIGINT, digest BINARY(16) of the rows that may have a copy; equal digests are copies."""
+    if filter_bits is None:
+        filter_bits = min(MAX_FILTER_BITS, max(MIN_FILTER_BITS, (FILTER_SHARE * df.where(F.col(name).isNotNull()).count()).bit_length()))
     norm = (
         df.where(F.col(name).isNotNull() & F.col(text).rlike(r"[\p{L}\p{N}]"))
         .select(F.col(key).cast("bigint").alias("row_id"), stripped(F.col(name)).alias("n"), stripped(F.col(text)).alias("t"), F.col(text).alias("raw"))
@@ -64,7 +68,7 @@ def form_digests(
 
 
 def form_groups(
-    df: DataFrame, key: str, name: str, text: str, labels: Sequence[str] = (), filter_bits: int = FILTER_BITS
+    df: DataFrame, key: str, name: str, text: str, labels: Sequence[str] = (), filter_bits: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(members: row_id, digest; groups: digest, keep_id, copies), groups of at least two rows.
 
@@ -78,7 +82,7 @@ def form_groups(
 
 
 def form_copies(
-    df: DataFrame, key: str, name: str, text: str, labels: Sequence[str] = (), filter_bits: int = FILTER_BITS
+    df: DataFrame, key: str, name: str, text: str, labels: Sequence[str] = (), filter_bits: int | None = None
 ) -> DataFrame:
     """keep_id, row_id of every row that is a copy of an earlier one. A group may hold any share of all rows: its
     minimum is combined before the shuffle and the largest groups are joined by a broadcast of constant size."""
@@ -87,7 +91,7 @@ def form_copies(
 
 
 def collapsed(
-    df: DataFrame, key: str, name: str, text: str, labels: Sequence[str] = (), filter_bits: int = FILTER_BITS
+    df: DataFrame, key: str, name: str, text: str, labels: Sequence[str] = (), filter_bits: int | None = None
 ) -> DataFrame:
     """keep_id, copies: one row for each group, how many rows it holds. Records without a copy are not listed."""
     _, groups = form_groups(df, key, name, text, labels, filter_bits)

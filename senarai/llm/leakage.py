@@ -2,8 +2,9 @@
 
 Every run of min_words consecutive words of a passage is a pattern, as a sequence of word numbers; a document is turned
 into word numbers once (0 for words of no passage) and scanned once. Passages are the stated, small query set: they are
-held on the workers in blocks of at most BLOCK_CHARS characters, one scan of the corpus a block, so no broadcast grows
-beyond that bound and no document is ever shuffled.
+held on the workers in blocks of about BLOCK_CHARS characters, one scan of the corpus a block, so no broadcast grows
+with them and no document is ever shuffled. The query set has a stated limit, MAX_ITEM_CHARS in all and BLOCK_CHARS a
+passage, beyond which the operator raises.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from .words import words_of
 
 MIN_WORDS = 12
 BLOCK_CHARS = 4_000_000
+MAX_ITEM_CHARS = 256_000_000
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _BUILT: dict[str, tuple] = {}
@@ -61,7 +63,9 @@ def leaked_runs(text: str, numbers: dict[str, int], automaton, min_words: int =
 
 def _blocks(items: DataFrame, item_key: str, passage: str) -> list[list[tuple[int, str]]]:
     rows = items.where(F.col(passage).isNotNull()).select(F.col(item_key).cast("bigint").alias("i"), F.col(passage).alias("p"))
-    chars = rows.agg(F.sum(F.length("p"))).first()[0] or 0
+    chars, longest = (x or 0 for x in rows.agg(F.sum(F.length("p")), F.max(F.length("p"))).first())
+    if chars > MAX_ITEM_CHARS or longest > BLOCK_CHARS:
+        raise ValueError(f"passages of {chars} characters, {longest} the longest: at most {MAX_ITEM_CHARS} and {BLOCK_CHARS}")
     n = -(-chars // BLOCK_CHARS)
     return [
         [(r.i, r.p) for r in rows.where(F.pmod(F.xxhash64("i"), F.lit(n)) == b).orderBy("i").collect()] for b in range(n)

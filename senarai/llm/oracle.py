@@ -70,6 +70,13 @@ def _p5_counts() -> str:
                WHERE split IN ('valid', 'test') GROUP BY ALL"""
 
 
+def _p9() -> str:
+    runs = lambda src, key, text: f"""(SELECT DISTINCT {key}, array_to_string(w[i:i + 11], ' ') AS run FROM
+        (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM
+          (SELECT {key}, list_transform(regexp_extract_all({text}, '[\\p{{L}}\\p{{N}}]+'), lambda x: lower(x)) AS w FROM {src} WHERE {text} IS NOT NULL)))"""
+    return f"SELECT DISTINCT doc_id, item_id FROM {runs('documents', 'doc_id', 'text')} JOIN {runs('benchmark_items', 'item_id', 'passage')} USING (run)"
+
+
 def _union(*parts: str) -> str:
     return "\nUNION ALL\n".join(f"({p})" for p in parts)
 
@@ -80,10 +87,10 @@ def oracle_sql() -> dict[str, str]:
     forms = (("raw_reviews", "ulasan", False), ("doc_example", "content", True))
     return {
         "p2_found": _union(_p2(*labelled), _p2(*documents)),
-        "p2_scores": _p2_scores(*labelled),
-        "p2_all_scores": _union(*(f"SELECT '{t[0]}' AS src, * FROM ({_p2_scores(*t)})" for t in (labelled, documents))),
+        "p2_scores": _union(*(f"SELECT '{t[0]}' AS src, * FROM ({_p2_scores(*t)})" for t in (labelled, documents))),
         "p3_found": _union(*(_p3(*f) for f in forms)),
         "p3_copies": _union(*(_p3_copies(*f) for f in forms)),
+        "p9_found": _p9(),
         "p5_found": _p5(),
         "p5_counts": _p5_counts(),
         "p7_found": f"SELECT src, term, mark FROM ({marked}) WHERE mark IS NOT NULL",

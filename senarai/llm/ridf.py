@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.heavy import join_key_stats
+from ..session import cut_lineage
 from .words import terms_of
 
 
@@ -42,14 +43,29 @@ def record_term_counts(df: DataFrame, key: str, text: str, min_tf: int = 1) -> D
     return rows.mapInArrow(count, "row_id bigint, term string, tf int")
 
 
-def collection_stats(df: DataFrame, key: str, text: str) -> DataFrame:
-    """term, df, cf, ridf over all records. One row a term crosses the shuffle from each map task."""
-    from .termfreq import term_frequencies
+def collection_stats(df: DataFrame, text: str) -> DataFrame:
+    """term, df, cf, ridf over all records, behind a checkpoint. Terms are counted by the same Python function as those of a
+    record, each batch at once, so at most one row a term and batch is summed; the number of records is one more sum."""
 
-    n = F.lit(float(max(df.where(F.col(text).isNotNull()).count(), 1)))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            occurrences: Counter = Counter()
+            records: Counter = Counter()
+            for t in batch.column(0).to_pylist():
+                terms = terms_of(t)
+                occurrences.update(terms)
+                records.update(set(terms))
+            terms = [None, *records]
+            columns = [pa.array(terms, pa.string()), pa.array([batch.num_rows, *records.values()], pa.int64()), pa.array([0, *[occurrences[t] for t in records]], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "df", "cf"])
+
+    rows = df.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
+    counted = cut_lineage(rows.mapInArrow(count, "term string, df bigint, cf bigint").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")))
+    total = counted.where("term IS NULL").first()
+    n = F.lit(float(total.df if total else 1))
     observed = -F.log2(F.col("df") / n)
     expected = -F.log2(F.lit(1.0) - F.exp(-F.col("cf") / n))
-    return term_frequencies(df, text).withColumn("ridf", F.round(observed - expected, 6) + 0.0)
+    return counted.where("term IS NOT NULL").withColumn("ridf", F.round(observed - expected, 6) + 0.0)
 
 
 def term_scores(
@@ -57,18 +73,14 @@ def term_scores(
 ) -> DataFrame:
     """row_id, term, tf, df, cf, ridf, score = tf * ridf for every term of every record within the given bounds.
 
-    min_tf is applied before the join, min_df and max_df to the statistics before the join, so a selective query
-    shuffles little. Terms that hold a large share of all rows are joined by a broadcast of constant size.
-    Empty tables give no rows; ties are kept; repeated rows are scored each.
+    min_tf is applied before the join, so a selective query shuffles little. Terms that hold a large share of all rows,
+    within the bounds or not, are met where the records lie and not sent to one task. The table is read three times: for
+    the statistics, for frequent terms and for all others. Empty tables give no rows; ties are kept; repeated rows are
+    scored each.
     """
-    stats = collection_stats(df, key, text)
-    if min_df > 1:
-        stats = stats.where(F.col("df") >= min_df)
+    joined = join_key_stats(record_term_counts(df, key, text, min_tf), collection_stats(df, text), "term", "df").where(F.col("df") >= min_df)
     if max_df is not None:
-        stats = stats.where(F.col("df") <= max_df)
-    pairs = record_term_counts(df, key, text, min_tf)
-    # With an upper bound on df no term is hot: a plain shuffle join can't be skewed.
-    joined = pairs.join(stats, "term") if max_df is not None else join_key_stats(pairs, stats, "term", "df")
+        joined = joined.where(F.col("df") <= max_df)
     return joined.select(
         "row_id", "term", "tf", "df", "cf", "ridf", (F.round(F.col("tf") * F.col("ridf"), 6) + 0.0).alias("score")
     )

@@ -12,7 +12,7 @@ def _write(spark, folder, name, rows, schema):
 def test_scores_of_both_tables(spark, tmp_path):
     _write(spark, tmp_path, "labelled", [(1, "bagus bagus sekali"), (2, "sekali")], "row_id bigint, raw string")
     _write(spark, tmp_path, "documents", [(1, "panjang " * 1_000 + "sekali"), (2, "sekali"), (3, None)], "doc_id bigint, text string")
-    got = {(r.src, r.row_id, r.term): (r.tf, r.df) for r in catalogue.queries()["p2_all_scores"](spark, str(tmp_path)).collect()}
+    got = {(r.src, r.row_id, r.term): (r.tf, r.df) for r in catalogue.queries()["p2_scores"](spark, str(tmp_path)).collect()}
     assert got == {
         ("labelled", 1, "bagus"): (2, 1), ("labelled", 1, "sekali"): (1, 2), ("labelled", 2, "sekali"): (1, 2),
         ("documents", 1, "panjang"): (1_000, 1), ("documents", 1, "sekali"): (1, 2), ("documents", 2, "sekali"): (1, 2),

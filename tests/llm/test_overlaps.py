@@ -1,5 +1,6 @@
 """Cross-split overlaps, passage leakage and encoding against brute force."""
 
+import os
 import random
 
 import pytest
@@ -115,6 +116,36 @@ def test_tree_equals_whole(leaf):
         assert tokenise.encode_tree(text, encode, leaf) == encode(text)
 
 
+FOLDER = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_most_documents_are_joined_from_halves(spark):
+    texts = [r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").where("text IS NOT NULL").select("text").collect()]
+    encode, calls = tokenise.encoding().encode_ordinary, []
+
+    def counted(part):
+        calls.append(part)
+        return encode(part)
+
+    joined = 0
+    for t in texts:
+        calls.clear()
+        assert tokenise.encode_tree(t, counted) == encode(t)
+        joined += len(calls) > 1
+    assert joined == sum(len(t) > tokenise.LEAF_CHARS for t in texts) > len(texts) / 2
+
+
+def test_too_many_passages_raise(spark, monkeypatch):
+    items = spark.createDataFrame([(1, "x" * 40), (2, "y" * 40)], "item_id bigint, passage string")
+    docs = spark.createDataFrame([(1, "x")], "doc_id bigint, text string")
+    for name in ("MAX_ITEM_CHARS", "BLOCK_CHARS"):
+        monkeypatch.setattr(leakage, name, 30)
+        with pytest.raises(ValueError):
+            leakage.leaked_items(docs, "doc_id", "text", items, "item_id", "passage")
+        monkeypatch.undo()
+
+
 def test_column_round_trip(spark):
     texts = ["", None, "Halo dunia!", "漢字。", "<|endoftext|>", "kata panjang " * 20_000, "x" * 30_000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").selectExpr("*", "1 AS ids")
