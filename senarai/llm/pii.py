@@ -73,6 +73,7 @@ _SIGNED = re.compile(
     r"(?:^|[^\w\s,]\s*|\n\s*)-\s+(?P<x>[^\W\d_]{2,})(?:\s+[^\W\d_]\.)?\s+(?P<y>[^\W\d_]{2,}|[^\W\d_]\.)(?=\s*(?:[.,!?;\n<(\[]|$|[^\w\s]))"
 )
 _FROM = re.compile(r"\b(?:saya|aku|i\s+am|i'm)\s+(?P<x>[^\W\d_]{2,})(?:\s+[^\W\d_]\.)?(?:\s+(?P<y>[^\W\d_]{2,}))?\s+(?:dari|from)\b", re.I)
+_FOLLOWING = re.compile(r"(?:\s[^\W\d_]\.)?\s(?P<y>[^\W\d_]{2,})")
 #: Words without which a pattern can't match, so that most texts are searched by few patterns.
 _INTRO_HINTS = frozenset("nama name bernama called named salam regards hormat".split())
 _TITLE_HINTS = frozenset(_TITLE.split("|"))
@@ -205,7 +206,13 @@ def _names(s: _Spans, names: frozenset[str]) -> None:
             if m[0].lower() in names:
                 before = s.text[max(0, m.start() - CONTEXT_CHARS) : m.start()].split()
                 if not (before and before[-1].lower().strip("\"'(“") in _NOT_PERSON):
-                    s.add("person_name", m.start(), m.end(), 0.6)
+                    s.add("person_name", m.start(), _with_surname(s, m, proper, named), 0.6)
+
+
+def _with_surname(s: _Spans, name: re.Match, proper, named) -> int:
+    """The end of a capitalised name with the capitalised word right after it that the list does not know."""
+    follows = _FOLLOWING.match(s.text, name.end())
+    return follows.end() if follows and proper(name[0]) and proper(follows["y"]) and not named(follows["y"]) and follows["y"].lower() not in _ROLES else name.end()
 
 
 def find_personal(text: str, names: frozenset[str]) -> list[tuple[str, int, int, float]]:

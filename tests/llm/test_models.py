@@ -33,6 +33,11 @@ def test_validators():
     assert {k for k, *_ in pii.find_personal("kartu 5500 0000 0000 0004 dan GB82 WEST 1234 5698 7654 32", frozenset())} == {"card", "account"}
 
 
+def test_surnames_outside_the_list_belong_to_a_listed_name():
+    for text, name in (("kemarin Sari Wibowo datang", "Sari Wibowo"), ("kemarin Sari A. Wibowo datang", "Sari A. Wibowo"), ("Tono datang lagi", "Tono"), ("sari wibowo", "sari"), ("Sari, Wibowo", "Sari")):
+        assert [text[a:b] for _, a, b, _ in pii.find_personal(text, NAMES)] == [name]
+
+
 def test_redaction(spark):
     rows = [(1, "Hubungi Sari Tono di 0812-3456-7890, a@b.example"), (2, None), (3, ""), (4, "x " * 50_000 + "WA 081234567890")]
     df = spark.createDataFrame(rows, "row_id bigint, t string").selectExpr("*", "0 AS kind", "'x' AS text")

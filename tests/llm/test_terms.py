@@ -56,6 +56,16 @@ def test_scores(spark):
     assert ridf.term_scores(table(spark).limit(0), "id", "t").count() == 0
 
 
+def test_a_term_of_every_record_is_joined_where_the_records_lie(spark):
+    df = spark.createDataFrame([(i, f"umum umum umum kata{'abcdefghijklmnopqrstuvwxy'[i % 25]}") for i in range(500)], "id bigint, t string").repartition(4)
+    rows = ridf.term_scores(df, "id", "t").collect()
+    assert len(rows) == 1_000 and {(r.tf, r.df, r.cf) for r in rows if r.term == "umum"} == {(3, 500, 1_500)}
+    assert {(r.tf, r.df, r.cf) for r in rows if r.term != "umum"} == {(1, 20, 20)}
+    assert {(r.row_id, r.term) for r in ridf.term_scores(df, "id", "t", min_tf=3, max_df=20).collect()} == set()
+    nulls = spark.createDataFrame([(1, None), (2, "")], "id bigint, t string")
+    assert ridf.term_scores(nulls, "id", "t").count() == 0
+
+
 FORMS = [
     (1, "Ana", "Bagus sekali!"), (2, " a-n-a", "bagus   SEKALI"), (3, "Ana", "bagus sekal"), (4, None, "bagus sekali"), (5, "Ana", None),
     (6, "Ana", "!!"), (7, "Ana", "!!"), (8, "Budi", "Versi: 1.2 | Saran: cepat"), (9, "budi", "saran : cepat\nVERSI: 12"),
