@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -115,6 +116,20 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy(zero_copy_only=False))
 
 
+@dataclass
+class Hubs:
+    """The verified hubs (f, mask) behind a checkpoint, their number, and a sum over all of them that tells two states apart."""
+
+    table: DataFrame
+    count: int
+    state: object
+
+    @classmethod
+    def of(cls, table: DataFrame) -> Hubs:
+        table = cut_lineage(table.select("f", "mask"))
+        return cls(table, *table.agg(F.count(F.lit(1)), F.sum(F.xxhash64("f", "mask").cast("decimal(38,0)"))).first())
+
+
 def _votes(batch: pa.RecordBatch, known: np.ndarray, mask: np.ndarray, subjects: int) -> np.ndarray:
     """How many of the hubs (known, mask) of each sentence of the batch speak for each subject, and those counted before."""
     phrases, _ = _flat(batch.column("phrases"))
@@ -131,17 +146,17 @@ def _votes(batch: pa.RecordBatch, known: np.ndarray, mask: np.ndarray, subjects:
     return votes
 
 
-def by_hubs(graph: DataFrame, hubs: DataFrame, subjects: int, finish: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], out: str) -> DataFrame:
+def by_hubs(graph: DataFrame, hubs: Hubs, subjects: int, finish: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], out: str) -> DataFrame:
     """What finish makes of each batch of graph and the masks of its sentences: the subject of each by its verified hubs
     (f, mask), several if equally many speak for each.
 
     The hubs are sent in blocks of about half of BLOCK_HUBS, 4 x BLOCK_HUBS at most. Each block is applied where the documents lie and its votes are
     added to those of the blocks before; there is no shuffle, however many there are."""
-    spark, blocks = graph.sparkSession, max(-(-hubs.count() // BLOCK_HUBS), 1)
+    spark, blocks = graph.sparkSession, max(-(-hubs.count // BLOCK_HUBS), 1)
     parts = 2 * blocks if blocks > 1 else 1
     for b in range(parts):
-        part = hubs if parts == 1 else hubs.where(F.pmod(F.xxhash64("f"), F.lit(parts)) == b)
-        rows = part.orderBy("f").limit(4 * BLOCK_HUBS + 1).collect()
+        part = hubs.table if parts == 1 else hubs.table.where(F.pmod(F.xxhash64("f"), F.lit(parts)) == b)
+        rows = sorted(part.limit(4 * BLOCK_HUBS + 1).collect())
         if len(rows) > 4 * BLOCK_HUBS:
             raise ValueError("a block of hubs is too large")
         shared = spark.sparkContext.broadcast((np.array([r.f for r in rows], np.int64), np.array([r.mask for r in rows], np.int64)))
@@ -199,7 +214,7 @@ def seed_counts(seeds: DataFrame, subjects: int) -> DataFrame:
     return seeds.select("phrases", "seed").mapInArrow(run, ", ".join(f"{c} bigint" for c in _counts(subjects)))
 
 
-def spread_counts(rows: DataFrame, hubs: DataFrame, subjects: int) -> DataFrame:
+def spread_counts(rows: DataFrame, hubs: Hubs, subjects: int) -> DataFrame:
     """f, n, k0.. of each phrase: how many sentences hold it whose document has subjects by its *other* sentences, and how
     many of these have each subject; combined within each batch."""
 
@@ -217,7 +232,7 @@ def spread_counts(rows: DataFrame, hubs: DataFrame, subjects: int) -> DataFrame:
     return by_hubs(rows.select("sizes", "phrases"), hubs, subjects, finish, ", ".join(f"{c} bigint" for c in _counts(subjects)))
 
 
-def document_masks(graph: DataFrame, hubs: DataFrame, subjects: int) -> DataFrame:
+def document_masks(graph: DataFrame, hubs: Hubs, subjects: int) -> DataFrame:
     """doc_id, mask: the subjects of all sentences of a document, those of its hand labels where there are none."""
 
     def finish(batch: pa.RecordBatch, own: np.ndarray) -> pa.RecordBatch:
@@ -306,15 +321,12 @@ def propagate(
     seeded = seed_counts(clamped, count).groupBy("f").agg(*[F.sum(c).alias(s) for c, s in blank.items()])
     seeded = cut_lineage(seeded.select("f", *blank.values(), *[zero.alias(c) for c in blank]))
     # by the seeds alone first: nothing else has been seen, so nothing speaks against them
-    hubs = cut_lineage(verified_hubs(seeded, need))
-    state = None
+    hubs = Hubs.of(verified_hubs(seeded, need))
     for _ in range(rounds):
         spread = spread_counts(free, hubs, count).select("f", *[zero.alias(s) for s in blank.values()], *blank)
-        hubs = cut_lineage(verified_hubs(seeded.unionByName(spread), need))
-        now = tuple(hubs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("f", "mask").cast("decimal(38,0)"))).first())
-        if now == state:
+        before, hubs = hubs, Hubs.of(verified_hubs(seeded.unionByName(spread), need))
+        if (hubs.count, hubs.state) == (before.count, before.state):
             break
-        state = now
 
     names = F.array(*[F.when(F.shiftright("mask", i).bitwiseAND(F.lit(1)) == 1, F.lit(s)) for i, s in enumerate(subjects)])
     found = document_masks(graph, hubs, count)
