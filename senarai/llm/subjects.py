@@ -87,33 +87,45 @@ def held_out_sentences(texts: DataFrame, text: str) -> frozenset[int]:
     return found
 
 
+def _packed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A binary column that holds counts[i] of the values in its row i: numbers that only numpy reads need no list."""
+    ends = np.concatenate([[0], np.cumsum(counts)]) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _unpacked(column: pa.Array, kind: type = np.int64) -> tuple[np.ndarray, np.ndarray]:
+    """(values of all rows, number of values of each row) of such a column."""
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    size = np.dtype(kind).itemsize
+    held = np.frombuffer(data, kind, (ends[-1] - ends[0]) // size, int(ends[0])) if data is not None and ends[-1] > ends[0] else np.zeros(0, kind)
+    return held, np.diff(ends) // size
+
+
 def document_phrases(df: DataFrame, key: str, text: str, excluded: frozenset[int]) -> DataFrame:
-    """doc_id, sizes ARRAY<INT>, phrases ARRAY<BIGINT>: the hashed phrases of a document's sentences, laid end to end, and
-    how many each has. Null texts, empty sentences and held-out ones are left out. One narrow stage."""
+    """doc_id, sizes BINARY, phrases BINARY: the hashed phrases (64 bits) of a document's sentences, laid end to end, and how
+    many (32 bits) each has. Null texts, empty sentences and held-out ones are left out. One narrow stage."""
     shared = df.sparkSession.sparkContext.broadcast(excluded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, left_out = _Hashes(), shared.value
         for batch in batches:
-            sizes, flat, ends = [], [], ([0], [0])
+            sizes, flat, sentences = [], [], []
             for t in batch.column(1).to_pylist():
+                before = len(sizes)
                 for s in _SENTENCE_END.split(t):
                     found = [hashes[p] for p in phrases(s)]
                     if found and sum(found) not in left_out:
                         sizes.append(len(found))
                         flat += found
-                ends[0].append(len(sizes))
-                ends[1].append(len(flat))
-            lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(v, k)) for e, v, k in zip(ends, (sizes, flat), (pa.int32(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["doc_id", "sizes", "phrases"])
+                sentences.append(len(sizes) - before)
+            sentences, sizes = np.array(sentences, np.int64), np.array(sizes, np.int32)
+            ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[np.concatenate([[0], np.cumsum(sentences)])]
+            columns = [batch.column(0), _packed(sizes, sentences), _packed(np.array(flat, np.int64), np.diff(ends))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sizes", "phrases"])
 
     rows = df.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, sizes array<int>, phrases array<bigint>")
-
-
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(values of a list column, number of values of each row)."""
-    return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy(zero_copy_only=False))
+    return rows.mapInArrow(run, "doc_id bigint, sizes binary, phrases binary")
 
 
 @dataclass
@@ -132,11 +144,11 @@ class Hubs:
 
 def _votes(batch: pa.RecordBatch, known: np.ndarray, mask: np.ndarray, subjects: int) -> np.ndarray:
     """How many of the hubs (known, mask) of each sentence of the batch speak for each subject, and those counted before."""
-    phrases, _ = _flat(batch.column("phrases"))
-    sizes, _ = _flat(batch.column("sizes"))
+    phrases, _ = _unpacked(batch.column("phrases"))
+    sizes, _ = _unpacked(batch.column("sizes"), np.int32)
     votes = np.zeros((len(sizes), subjects), dtype=np.int64)
     if "votes" in batch.schema.names:
-        votes += _flat(batch.column("votes"))[0].reshape(-1, subjects)
+        votes += _unpacked(batch.column("votes"))[0].reshape(-1, subjects)
     if len(known):
         at = np.minimum(np.searchsorted(known, phrases), len(known) - 1)
         hits = np.flatnonzero(known[at] == phrases)
@@ -164,10 +176,9 @@ def by_hubs(graph: DataFrame, hubs: Hubs, subjects: int, finish: Callable[[pa.Re
         def add(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 votes = _votes(batch, *shared.value, subjects)
-                _, sentences = _flat(batch.column("sizes"))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sentences * subjects)]), pa.int32()), pa.array(votes.ravel(), pa.int64()))
+                _, sentences = _unpacked(batch.column("sizes"), np.int32)
                 names = [n for n in batch.schema.names if n != "votes"]
-                yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], lists], names=[*names, "votes"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], _packed(votes.ravel(), sentences * subjects)], names=[*names, "votes"])
 
         def end(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -178,7 +189,7 @@ def by_hubs(graph: DataFrame, hubs: Hubs, subjects: int, finish: Callable[[pa.Re
         if b == parts - 1:
             return graph.mapInArrow(end, out)
         kinds = [f"{f.name} {f.dataType.simpleString()}" for f in graph.schema if f.name != "votes"]
-        graph = graph.mapInArrow(add, ", ".join([*kinds, "votes array<bigint>"]))
+        graph = graph.mapInArrow(add, ", ".join([*kinds, "votes binary"]))
     raise AssertionError
 
 
@@ -203,7 +214,7 @@ def seed_counts(seeds: DataFrame, subjects: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            phrases, per_doc = _flat(batch.column("phrases"))
+            phrases, per_doc = _unpacked(batch.column("phrases"))
             doc = np.repeat(np.arange(len(per_doc)), per_doc)
             by = np.lexsort((phrases, doc))
             doc, phrases = doc[by], phrases[by]
@@ -219,8 +230,8 @@ def spread_counts(rows: DataFrame, hubs: Hubs, subjects: int) -> DataFrame:
     many of these have each subject; combined within each batch."""
 
     def finish(batch: pa.RecordBatch, own: np.ndarray) -> pa.RecordBatch:
-        phrases, _ = _flat(batch.column("phrases"))
-        sizes, sentences = _flat(batch.column("sizes"))
+        phrases, _ = _unpacked(batch.column("phrases"))
+        sizes, sentences = _unpacked(batch.column("sizes"), np.int32)
         doc = np.repeat(np.arange(len(sentences)), sentences)
         other = np.zeros(len(own), dtype=np.int64)
         for i in range(subjects):  # a subject of another sentence: had by two of them, or by one that isn't this
@@ -236,7 +247,7 @@ def document_masks(graph: DataFrame, hubs: Hubs, subjects: int) -> DataFrame:
     """doc_id, mask: the subjects of all sentences of a document, those of its hand labels where there are none."""
 
     def finish(batch: pa.RecordBatch, own: np.ndarray) -> pa.RecordBatch:
-        _, sentences = _flat(batch.column("sizes"))
+        _, sentences = _unpacked(batch.column("sizes"), np.int32)
         found, held = np.zeros(len(sentences), dtype=np.int64), sentences > 0
         if held.any():
             found[held] = np.bitwise_or.reduceat(own, np.concatenate([[0], np.cumsum(sentences[held])[:-1]]))
