@@ -186,7 +186,7 @@ def _lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, kind))
 
 
-def batch_keys(texts: list[str], words: _Words, similarity: float, min_words: int, gram: int, window: int) -> list[pa.Array]:
+def batch_keys(texts: list[str], words: _Words, similarity: float, min_words: int, gram: int, window: int, part_rows: int = SPLIT_ROWS) -> list[pa.Array]:
     """For the texts of at least min_words distinct words: place in the batch, class, n distinct words, fingerprints and
     their parts, rarest words and their parts, how many of these are keys of the smaller set, parity sketch."""
     split = [words_of(t) for t in texts]
@@ -217,8 +217,8 @@ def batch_keys(texts: list[str], words: _Words, similarity: float, min_words: in
     held, met = np.bincount(owner, minlength=len(split)), np.minimum(large, n)
     return [
         pa.array(usable, pa.int32()), pa.array([_text_class(w) for w in split], pa.binary()), pa.array(n, pa.int32()),
-        _lists(prints, held, pa.int64()), _lists(least // SPLIT_ROWS + 1, held, pa.int32()),
-        _lists(h[rare], met, pa.int64()), _lists(c[rare] // SPLIT_ROWS + 1, met, pa.int32()), pa.array(small, pa.int32()),
+        _lists(prints, held, pa.int64()), _lists(least // part_rows + 1, held, pa.int32()),
+        _lists(h[rare], met, pa.int64()), _lists(c[rare] // part_rows + 1, met, pa.int32()), pa.array(small, pa.int32()),
         pa.array(sketch[:, 0], pa.int64()), pa.array(sketch[:, 1], pa.int64()),
     ]
 
@@ -226,14 +226,14 @@ def batch_keys(texts: list[str], words: _Words, similarity: float, min_words: in
 KEYS = ("cls", "n", "prints", "print_parts", "rare", "rare_parts", "small", "s0", "s1")
 
 
-def record_keys(rows: DataFrame, counts: dict[int, int], similarity: float, min_words: int, gram: int, window: int, *keep: str) -> DataFrame:
+def record_keys(rows: DataFrame, counts: dict[int, int], similarity: float, min_words: int, gram: int, window: int, part_rows: int, *keep: str) -> DataFrame:
     """row_id, split, keep and the KEYS of batch_keys of every record with enough words. One narrow stage."""
     shared = rows.sparkSession.sparkContext.broadcast(counts)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words(shared.value)
         for batch in batches:
-            at, *columns = batch_keys(batch.column(1).to_pylist(), words, similarity, min_words, gram, window)
+            at, *columns = batch_keys(batch.column(1).to_pylist(), words, similarity, min_words, gram, window, part_rows)
             kept = [batch.column(k).take(at) for k in (0, *range(2, batch.num_columns))]
             yield pa.RecordBatch.from_arrays(kept + columns, names=["row_id", "split", *keep, *KEYS])
 
@@ -318,12 +318,12 @@ def class_links(rows: DataFrame, pairs: DataFrame, similarity: float, gram: int,
 
 def overlap_classes(
     df: DataFrame, key: str, text: str, split: str, keep: tuple[str, ...], min_words: int, similarity: float,
-    train: tuple[str, ...], evaluation: tuple[str, ...], gram: int, window: int,
+    train: tuple[str, ...], evaluation: tuple[str, ...], gram: int, window: int, part_rows: int,
 ) -> tuple[DataFrame, DataFrame]:
     """(members: row_id, split, keep, cls; links: a, b, jaccard, train_cover, eval_cover between their classes, a class
     with records on both sides being linked with itself)."""
     rows = _searched(df, key, text, split, (*train, *evaluation), *keep)
-    records = cut_lineage(record_keys(rows, common_words(rows), similarity, min_words, gram, window, *keep))
+    records = cut_lineage(record_keys(rows, common_words(rows), similarity, min_words, gram, window, part_rows, *keep))
     members = cut_lineage(records.select("row_id", "split", *keep, "cls"))
     links = class_links(rows, candidates(records, similarity, train), similarity, gram, window)
     side = F.col("split").isin(*train)
@@ -344,6 +344,7 @@ def split_overlaps(
     evaluation: tuple[str, ...] = EVALUATION,
     gram: int = GRAM,
     window: int = WINDOW,
+    part_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
     """train_id, eval_id, jaccard, train_cover, eval_cover: every pair of a training and an evaluation record of at least
     min_words distinct words each whose word sets have the similarity, whatever the order of their words. Covers are the
@@ -353,25 +354,25 @@ def split_overlaps(
     stated in pairs of rows; a class of many rows is joined in salted parts. An empty table, or one with one side only,
     gives no rows. Columns other than the three are ignored.
     """
-    members, links = overlap_classes(df, key, text, split, (), min_words, similarity, train, evaluation, gram, window)
+    members, links = overlap_classes(df, key, text, split, (), min_words, similarity, train, evaluation, gram, window, part_rows)
     links = cut_lineage(links)
     side = lambda cond, cls, name: members.where(cond).select(F.col("cls").alias(cls), F.col("row_id").alias(name))
     in_train = F.col("split").isin(*train)
-    out = salted_join(links, side(in_train, "a", "train_id"), "a", SPLIT_ROWS)
-    out = salted_join(out, side(~in_train, "b", "eval_id"), "b", SPLIT_ROWS)
+    out = salted_join(links, side(in_train, "a", "train_id"), "a", part_rows)
+    out = salted_join(out, side(~in_train, "b", "eval_id"), "b", part_rows)
     return out.select("train_id", "eval_id", "jaccard", "train_cover", "eval_cover")
 
 
 def overlap_report(
     df: DataFrame, key: str, text: str, split: str, source: str, min_words: int = MIN_WORDS, similarity: float = SIMILARITY,
-    train: tuple[str, ...] = TRAIN, evaluation: tuple[str, ...] = EVALUATION, gram: int = GRAM, window: int = WINDOW,
+    train: tuple[str, ...] = TRAIN, evaluation: tuple[str, ...] = EVALUATION, gram: int = GRAM, window: int = WINDOW, part_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
     """split, source, n_records, n_overlapping, mean_cover: for each evaluation split and source, how many records occur
     in the training split, exactly or almost, and the mean best coverage of those. A null source is a group of its own.
 
     Counted from classes and their numbers of rows by split and source: no pair of rows is ever formed."""
     named = df.withColumn("__source", F.col(source))
-    members, links = overlap_classes(named, key, text, split, ("__source",), min_words, similarity, train, evaluation, gram, window)
+    members, links = overlap_classes(named, key, text, split, ("__source",), min_words, similarity, train, evaluation, gram, window, part_rows)
     best = links.groupBy("b").agg(F.max("eval_cover").alias("cover")).withColumnRenamed("b", "cls")
     sizes = members.where(F.col("split").isin(*evaluation)).groupBy("cls", "split", F.col("__source").alias("source")).agg(F.count(F.lit(1)).alias("n"))
     hits = sizes.join(best, "cls").groupBy("split", "source").agg(F.sum("n").alias("n_overlapping"), F.sum(F.col("n") * F.col("cover")).alias("covers"))
