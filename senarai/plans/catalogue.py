@@ -160,7 +160,7 @@ def learned_keywords(spark: SparkSession, folder: str) -> DataFrame:
 
 def _classifier(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "labelled").where("raw IS NOT NULL")
-    return rows.select("row_id", T.classifier_text(F.col("raw")).alias("text"), "sentiment")
+    return spread(rows.select("row_id", "raw", "sentiment")).select("row_id", T.classifier_text(F.col("raw")).alias("text"), "sentiment")
 
 
 def classifier_text(spark: SparkSession, folder: str) -> DataFrame:
@@ -272,7 +272,7 @@ def evaluation_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def _training(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "labelled").where((F.col("split") == "train") & F.col("raw").isNotNull() & F.col("sentiment").isNotNull())
-    return rows.select("row_id", "raw", T.sentiment_synonym(F.col("sentiment")).alias("label"))
+    return spread(rows.select("row_id", "raw", T.sentiment_synonym(F.col("sentiment")).alias("label")))
 
 
 def _testing(spark: SparkSession, folder: str) -> DataFrame:
