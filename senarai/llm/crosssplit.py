@@ -127,7 +127,7 @@ def aligned(a: list[str], b: list[str], seeds: list[tuple[int, int]], gram: int
 
 
 def _searched(df: DataFrame, key: str, text: str, split: str, splits: tuple[str, ...], *keep: str) -> DataFrame:
-    rows = df.where(F.col(text).isNotNull() & F.col(split).isin(*splits))
+    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull() & F.col(split).isin(*splits))
     return rows.select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("text"), F.col(split).alias("split"), *keep)
 
 
@@ -350,7 +350,7 @@ def split_overlaps(
     min_words distinct words each whose word sets have the similarity, whatever the order of their words. Covers are the
     shares of either record's words that align in order, from winnowed fingerprints (gram, window) where they share any.
 
-    Null texts, other or null splits and short records are in no pair. Repeated rows are paired each, as the result is
+    Null ids and texts, other or null splits and short records are in no pair. Repeated rows are paired each, as the result is
     stated in pairs of rows; a class of many rows is joined in salted parts. An empty table, or one with one side only,
     gives no rows. Columns other than the three are ignored.
     """

@@ -70,11 +70,29 @@ def _p5_counts() -> str:
                WHERE split IN ('valid', 'test') GROUP BY ALL"""
 
 
-def _p9() -> str:
-    runs = lambda src, key, text: f"""(SELECT DISTINCT {key}, array_to_string(w[i:i + 11], ' ') AS run FROM
-        (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM
-          (SELECT {key}, list_transform(regexp_extract_all({text}, '[\\p{{L}}\\p{{N}}]+'), lambda x: lower(x)) AS w FROM {src} WHERE {text} IS NOT NULL)))"""
-    return f"SELECT DISTINCT doc_id, item_id FROM {runs('documents', 'doc_id', 'text')} JOIN {runs('benchmark_items', 'item_id', 'passage')} USING (run)"
+_P9_RUN = 12
+
+
+def _runs(src: str, key: str, text: str) -> str:
+    """key, i, run: every run of _P9_RUN words of a text and the number of its first word."""
+    return f"""(SELECT {key}, i, array_to_string(w[i:i + {_P9_RUN - 1}], ' ') AS run FROM
+        (SELECT {key}, w, unnest(range(1, len(w) - {_P9_RUN - 2})) AS i FROM
+          (SELECT {key}, list_transform(regexp_extract_all({text}, '[\\p{{L}}\\p{{N}}]+'), lambda x: lower(x)) AS w FROM {src} WHERE {text} IS NOT NULL)))"""
+
+
+def _hits() -> str:
+    items = f"(SELECT DISTINCT item_id, run FROM {_runs('benchmark_items', 'item_id', 'passage')})"
+    return f"(SELECT DISTINCT doc_id, item_id, i FROM {_runs('documents', 'doc_id', 'text')} JOIN {items} USING (run))"
+
+
+def _p9_spans() -> str:
+    """Neighbouring runs are one span; its offsets are the lengths of the words and separators before."""
+    spans = f"""(SELECT doc_id, item_id, min(i) AS a, max(i) + {_P9_RUN - 1} AS b FROM
+        (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id ORDER BY i) AS island FROM {_hits()}) GROUP BY doc_id, item_id, island)"""
+    place = lambda k: f"CASE WHEN regexp_matches(t[1], '^[\\p{{L}}\\p{{N}}]') THEN 2 * {k} - 1 ELSE 2 * {k} END"
+    width = lambda end: f"length(array_to_string(t[1:{end}], ''))::INT"
+    return f"""SELECT doc_id, item_id, (b - a + 1)::INT AS n_words, {width(f"({place('a')}) - 1")} AS start, {width(place('b'))} AS "end"
+        FROM {spans} JOIN (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+') AS t FROM documents) USING (doc_id)"""
 
 
 def _union(*parts: str) -> str:
@@ -90,7 +108,8 @@ def oracle_sql() -> dict[str, str]:
         "p2_scores": _union(*(f"SELECT '{t[0]}' AS src, * FROM ({_p2_scores(*t)})" for t in (labelled, documents))),
         "p3_found": _union(*(_p3(*f) for f in forms)),
         "p3_copies": _union(*(_p3_copies(*f) for f in forms)),
-        "p9_found": _p9(),
+        "p9_found": f"SELECT DISTINCT doc_id, item_id FROM {_hits()}",
+        "p9_spans": _p9_spans(),
         "p5_found": _p5(),
         "p5_counts": _p5_counts(),
         "p7_found": f"SELECT src, term, mark FROM ({marked}) WHERE mark IS NOT NULL",

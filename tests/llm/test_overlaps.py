@@ -66,7 +66,7 @@ def test_copies_in_a_hot_class(spark):
 def test_split_keys_and_classes_give_the_same(spark):
     rows = _records(2)
     hot = " ".join(VOCABULARY[:30])
-    rows += [(1_000 + i, hot + f" beda{i % 3}", "train" if i % 2 else "valid") for i in range(24)]
+    rows += [(1_000 + i, hot + f" beda{i % 3}", "train" if i % 2 else "valid") for i in range(24)] + [(None, hot, "train"), (None, hot, "test")]
     df = spark.createDataFrame(rows, "id bigint, t string, split string").selectExpr("*", "'s' AS source")
     pairs = lambda n: sorted((r.train_id, r.eval_id) for r in crosssplit.split_overlaps(df, "id", "t", "split", part_rows=n).collect())
     report = lambda n: sorted(tuple(r) for r in crosssplit.overlap_report(df, "id", "t", "split", "source", part_rows=n).collect())
