@@ -263,12 +263,15 @@ def candidates(records: DataFrame, similarity: float, train: tuple[str, ...]) ->
         held = classes.where(F.col("sides").bitwiseAND(F.lit(bit)) > 0)
         flat = held.select(F.explode(each).alias("k"), F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("n", "s0", "s1")])
         salt = F.sequence(F.lit(0), F.col("k.p") - 1) if bit == 1 else F.array(F.pmod(F.xxhash64(name), F.col("k.p")).cast("int"))
-        return flat.select((F.col("k.w").bitwiseXOR(F.col("k.r").cast("bigint"))).alias("key"), F.explode(salt).alias("salt"), name, *[f"{c}_{name}" for c in ("n", "s0", "s1")])
+        held = flat.select("k", F.explode(salt).alias("salt"), name, *[f"{c}_{name}" for c in ("n", "s0", "s1")])
+        # one number for key, kind and part: a join of one column sorts fastest, and what meets by chance fails later
+        key = F.col("k.w").bitwiseXOR(F.col("k.r").cast("bigint")).bitwiseXOR(F.when(F.col("salt") > 0, F.xxhash64("salt")).otherwise(F.lit(0).cast("bigint")))
+        return held.select(key.alias("key"), name, *[f"{c}_{name}" for c in ("n", "s0", "s1")])
 
     sizes = (F.col("n_a") >= similarity * F.col("n_b") - 1e-9) & (F.col("n_b") >= similarity * F.col("n_a") - 1e-9)
     differing = F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b")))
     near = differing <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-6
-    pairs = keys(1, "a", 1, 2).join(keys(2, "b", 2, 1), ["key", "salt"]).where(sizes & near & (F.col("a") != F.col("b")))
+    pairs = keys(1, "a", 1, 2).join(keys(2, "b", 2, 1), "key").where(sizes & near & (F.col("a") != F.col("b")))
     return pairs.select("a", "b").distinct()
 
 
