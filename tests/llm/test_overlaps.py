@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 
 from senarai.llm import crosssplit, leakage, tokenise
@@ -73,6 +74,41 @@ def test_split_keys_and_classes_give_the_same(spark):
     assert pairs(3) == pairs(20_000) and len(pairs(3)) >= 144 and report(3) == report(20_000)
 
 
+def test_records_of_few_words_meet_in_proportion():
+    r = random.Random(9)
+    phrases = [[f"f{k}k{i}" for i in range(r.randint(2, 4))] for k in range(400)]
+    texts = [[w for p in r.sample(phrases, 14) for w in p] for _ in range(6_000)]
+    sets = crosssplit.word_sets(texts, crosssplit._Words({crosssplit.signed_hash(w): k for k, w in enumerate(w for p in phrases for w in p)}))
+    words = int(sets.ranks.max()) + 1
+    placed = [crosssplit.placed_groups(sets, np.full(words, 14 / 400), words, crosssplit.groups_at(k)) for k in range(3)]
+    vocabulary = crosssplit.Vocabulary({}, np.full(words, 14 / 400), placed, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    evaluation = np.arange(len(texts)) % 3 == 0
+    key, _, record, less, _ = crosssplit.group_keys(sets, evaluation, vocabulary, 0.75)
+    side = lambda tested, short: np.sort(key[(evaluation[record] == tested) & (less == short)])
+    met = sum(len(a) for x, y in ((0, 0), (0, 1), (1, 0)) for a, _ in crosssplit.met_pairs(side(False, x), side(True, y), side(True, y)))
+    # every word is in 200 records: one rare word as a key lets each evaluation record meet hundreds
+    assert met < 10 * evaluation.sum()
+
+
+@pytest.mark.parametrize("similarity", [0.6, 0.75, 1.0])
+def test_sets_of_any_size_meet(spark, similarity):
+    r = random.Random(11)
+    rows, vocabulary = [], VOCABULARY[:900]
+    for k in range(60):
+        base = r.sample(vocabulary, r.choice([25, 26, 40, 69, 71, 72, 75, 100, 143, 144, 300]))
+        for split in ("train", "test", r.choice(["train", "valid"])):
+            share = r.choice([1, 1, 0.97, 0.85])
+            copy = [w for w in base if r.random() < share]
+            copy += r.sample(vocabulary, int(len(base) * r.choice([0, 0, 0.05, 0.15])))
+            rows.append((len(rows), " ".join(r.sample(copy, len(copy))), split))
+    df = spark.createDataFrame(rows, "id bigint, t string, split string")
+    got = {(x.train_id, x.eval_id) for x in crosssplit.split_overlaps(df, "id", "t", "split", similarity=similarity).collect()}
+    sets = {i: set(t.split()) for i, t, _ in rows if len(set(t.split())) >= 25}
+    pairs = ((a[0], b[0]) for a in rows if a[2] == "train" for b in rows if b[2] != "train" and a[0] in sets and b[0] in sets)
+    expected = {(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9}
+    assert expected and got == expected
+
+
 def test_winnowing_keeps_its_promise():
     r = random.Random(3)
     shared = r.sample(VOCABULARY, 11)
